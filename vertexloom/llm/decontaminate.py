@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.shared import ascii_lower, sized, stored, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Separators: ASCII but for digits and letters. Listed one by one, Java looks them up in a table; as ranges it tests range after range, 20 times slower.
+SEPARATORS = "".join(rf"\x{c:02x}" for c in range(128) if not chr(c).isalnum())
 WINDOW = 13
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(c), F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(c, F.lit(""))), f"[{SEPARATORS}]+"), "")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     ids = m.select("doc_id", F.col("item_id").cast("string").alias("i")).distinct().groupBy("doc_id").agg(
         F.count("i").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("i")), ","), 256).alias("items_sha256"))
     per = hit.withColumnRenamed("doc_id", "d").join(ids.withColumnRenamed("doc_id", "e"), F.expr("d <=> e")).drop("e")
-    base = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(f"[^{SEPARATORS}]+")), F.lit(0)).cast("long").alias("n_words"))
     out = base.join(per, F.expr("doc_id <=> d"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
