@@ -76,7 +76,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Dat
     second = two.select(F.col("term2").alias("term"), "iid", F.col("apos2").alias("apos"), F.array().cast("array<struct<s:int,m:int,apos2:int>>").alias("wins"))
     anchors = stored(first.unionByName(second))
     n = anchors.count()
-    lists = build_postings(docs, anchors.select("term").distinct(), size - 1)
+    lists = stored(build_postings(docs, anchors.select("term").distinct(), size - 1))
     # Shifted by the term's place in the item, postings of one occurrence agree.
     found = lists.join(sized(anchors, n), "term").select(
         "doc_id", "iid", (F.col("pos") - F.col("apos")).alias("delta"), "apos", F.struct("ctx_from", "ctx", "wins").alias("of"))

@@ -233,7 +233,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, de
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs; links at Jaccard >= num / den."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
