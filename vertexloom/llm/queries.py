@@ -4,9 +4,11 @@ from vertexloom.llm.decontaminate import OP1_SQL, op1_decontaminate
 from vertexloom.llm.jaccard import OP8_SQL, op8_jaccard_join
 from vertexloom.llm.linededup import op10_line_dedup
 from vertexloom.llm.packing import op6_packing
+from vertexloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
