@@ -5,7 +5,8 @@ Documents of equal sets are one class from the start. Two sets that reach the
 similarity share a token among each one's first n - ceil(t * n) + 1 tokens
 under *any* global order. The first order puts hashes ascending and very
 frequent 5-grams last, and is joined through posting lists, of which only those
-with two classes or more are kept. The pairs must share prefix tokens under two
+with two classes or more are kept; how many prefix tokens a pair shares bounds
+its overlap. The pairs must share prefix tokens under two
 further orders as well; those left are verified on the whole sets.
 
 Groups of copies are not expanded into pairs: in every posting list, classes
@@ -33,7 +34,7 @@ from vertexloom.llm.shared import components, sized, stored, table
 GRAM = 5
 #: A 5-gram is frequent if it makes up this share of all; at most 1 / share of them can be.
 FREQUENT = 2.0**-20
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE, BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -137,7 +138,7 @@ def survey(docs: DataFrame) -> DataFrame:
                     size += len(s)
                     waiting += len(s)
             yield _batch(out, schema)
-            if waiting > 4_000_000:  # bounds a task's memory; counts of its parts are added up below
+            if waiting > 2_000_000:  # bounds a task's memory; counts of its parts are added up below
                 yield _batch(often(), schema)
                 held, size, waiting = [], 0, 0
         yield _batch(often(), schema)
@@ -211,7 +212,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, de
             yield _batch(rows, [("sig", pa.int64()), ("s", pa.binary())])
 
     texts = docs.join(sized(reps, n), docs.doc_id == F.col("r"), "left_semi").select("text")
-    held = stored(texts.mapInArrow(sets, "sig long, s binary").dropDuplicates(["sig"]))
+    held = stored(texts.mapInArrow(sets, "sig long, s binary"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,8 +247,14 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_round
     frequent = spark.sparkContext.broadcast((tokens[by], by.astype(np.uint64)))
     classes = stored(each.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
     lists = stored(shared(postings(docs, frequent, num, den)))
-    links = None
-    tried = None
+    links = tried = None
+    # Shared tokens that end the shorter reach are all among the m of both prefixes; the rest is at most one set's remainder.
+    rest_of = lambda n: F.ceil(n * num / den) - 1
+
+    def reach(m, x, y):
+        most = m + F.greatest(rest_of(x), rest_of(y))
+        return den * most >= num * (x + y - most)
+
     for nth in range(hub_rounds + 1):
         if links is None:
             of = lists.withColumn("g", F.col("sig"))
@@ -258,12 +265,14 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_round
         near = (den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n"))
         if nth < hub_rounds:
             star = of.alias("b").join(open_.select("token", F.col("hub.sig").alias("h"), F.col("hub.g").alias("hg"), F.col("hub.n").alias("hn")), "token").where("g <> hg")
-            star = star.where(den * F.least("n", "hn") >= num * F.greatest("n", "hn")).groupBy("sig", "h").agg(F.count("*").alias("m"))
+            # Here m misses tokens with another hub: what this leaves out is found when the rest is paired.
+            star = star.groupBy("sig", "h", "n", "hn").agg(F.count("*").alias("m")).where(reach(F.col("m"), F.col("n"), F.col("hn")))
             pairs = star.groupBy("sig").agg(F.max_by("h", F.struct("m", "h")).alias("b")).select(F.col("sig").alias("a"), "b")
         else:
             rest = stored(of.join(open_.select("token"), "token"))
             pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.g") != F.col("b.g")) & near)
-            pairs = pairs.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"))
+            pairs = pairs.groupBy(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(F.count("*").alias("m"))
+            pairs = pairs.where(reach(F.col("m"), F.col("x"), F.col("y")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = stored(verified(docs, classes, pairs, num, den))
