@@ -201,37 +201,48 @@ def shared(lists: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) that pass the other orders' prefix filters and then reach num / den."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    n = ids.count()
-    reps = classes.join(sized(ids, n), classes.s1 == ids.sig, "left_semi").select(F.col("rep").alias("r"))
+    """Those of pairs (a, b) that pass the other orders' prefix filters and then reach num / den.
+
+    Sets are made anew from the texts and move once, to their partner b; a b with many partners is dealt over several keys, each with its set.
+    """
+    hubs = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("k")))
+    member = pairs.join(hubs, "b").select(F.col("a").alias("sig"), F.col("b").alias("h"), F.pmod(F.xxhash64("a"), "k").cast("int").alias("salt"), F.lit(1).alias("kind"))
+    hub = hubs.select(F.col("b").alias("sig"), F.col("b").alias("h"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("kind"))
+    want = stored(member.union(hub))
+    n = want.count()
+    reps = classes.join(sized(want.select("sig").distinct(), n, 500_000), classes.s1 == F.col("sig"), "left_semi").select(F.col("rep").alias("r"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(signature(s)[0], s.tobytes()) for s in shingle_sets(batch.column(0))]
-            yield _batch(rows, [("sig", pa.int64()), ("s", pa.binary())])
-
-    texts = docs.join(sized(reps, n), docs.doc_id == F.col("r"), "left_semi").select("text")
-    held = stored(texts.mapInArrow(sets, "sig long, s binary"))
+            for k in range(0, len(rows), 256):
+                yield _batch(rows[k : k + 256], [("sig", pa.int64()), ("s", pa.binary())])
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+            return False
+        for odd in ORDERS:
+            p, q = (np.partition(z * odd, k - 1)[:k] for z in (x, y) for k in [prefix(len(z), num, den)])
+            if not len(np.intersect1d(p, q, assume_unique=True)):
+                return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return den * both >= num * (len(x) + len(y) - both)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = held = None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                good = den * min(len(x), len(y)) >= num * max(len(x), len(y))
-                for odd in ORDERS:
-                    if good:
-                        p, q = (np.partition(z * odd, k - 1)[:k] for z in (x, y) for k in [prefix(len(z), num, den)])
-                        good = len(np.intersect1d(p, q, assume_unique=True)) > 0
-                if good:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good = den * both >= num * (len(x) + len(y) - both)
-                ok.append(bool(good))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
-
-    both = pairs.join(held.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+            out = []
+            for sig, h, salt, kind, s in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if kind == 0:
+                    key, held = (h, salt), s.copy()
+                elif key == (h, salt) and alike(s, held):
+                    out.append((sig, h))
+            yield _batch(out, [("a", pa.int64()), ("b", pa.int64())])
+
+    texts = docs.join(sized(reps, n, 500_000), docs.doc_id == F.col("r"), "left_semi").select("text")
+    rows = texts.mapInArrow(sets, "sig long, s binary").join(sized(want, n, 500_000), "sig").select("sig", "h", "salt", "kind", "s")
+    return rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "kind", "sig").mapInArrow(test, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_rounds: int = 1) -> DataFrame:
@@ -273,10 +284,11 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_round
             pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.g") != F.col("b.g")) & near)
             pairs = pairs.groupBy(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(F.count("*").alias("m"))
             pairs = pairs.where(reach(F.col("m"), F.col("x"), F.col("y")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.select("a", "b")
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = stored(verified(docs, classes, pairs, num, den))
-        tried = pairs if tried is None else tried.union(pairs)
+        both = pairs.union(pairs.select("b", "a"))
+        tried = both if tried is None else tried.union(both)
         links = found if links is None else links.union(found)
     group = stored(components(spark, links))
     n = group.count()
