@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-EACH = Window.partitionBy("graph_id")
+
+def each() -> WindowSpec:
+    return Window.partitionBy("graph_id")
 
 
 def tidy(c: Column) -> Column:
@@ -23,7 +25,7 @@ def recenter(layout: DataFrame, center: tuple[float, float] | None) -> DataFrame
     """Subtracts the middle of the least and greatest of all coordinates, x and y pooled, then adds center."""
     if center is None:
         return layout
-    lo, hi = F.least(F.min("x").over(EACH), F.min("y").over(EACH)), F.greatest(F.max("x").over(EACH), F.max("y").over(EACH))
+    lo, hi = F.least(F.min("x").over(each()), F.min("y").over(each())), F.greatest(F.max("x").over(each()), F.max("y").over(each()))
     mid = layout.withColumn("_m", (lo + hi) / 2)
     return mid.withColumns({"x": F.col("x") - F.col("_m") + float(center[0]), "y": F.col("y") - F.col("_m") + float(center[1])}).drop("_m")
 
@@ -39,17 +41,17 @@ def recenter_many(layouts: DataFrame, center: tuple[float, float] | None) -> Dat
 
 def rescale(layout: DataFrame, scaling: float) -> DataFrame:
     """Makes the larger of the two ranges scaling."""
-    span = F.greatest(F.max("x").over(EACH) - F.min("x").over(EACH), F.max("y").over(EACH) - F.min("y").over(EACH))
+    span = F.greatest(F.max("x").over(each()) - F.min("x").over(each()), F.max("y").over(each()) - F.min("y").over(each()))
     out = layout.withColumn("_s", F.when(span > 0, scaling / span).otherwise(1.0))
     return out.withColumns({"x": F.col("x") * F.col("_s"), "y": F.col("y") * F.col("_s")}).drop("_s")
 
 
 def mean_shift(layout: DataFrame, center: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    return layout.withColumns({c: F.col(c) - F.avg(c).over(EACH) + float(v) for c, v in zip("xy", center)})
+    return layout.withColumns({c: F.col(c) - F.avg(c).over(each()) + float(v) for c, v in zip("xy", center)})
 
 
 def max_abs_rescale(layout: DataFrame, radius: float) -> DataFrame:
-    top = F.max(F.greatest(F.abs("x"), F.abs("y"))).over(EACH)
+    top = F.max(F.greatest(F.abs("x"), F.abs("y"))).over(each())
     out = layout.withColumn("_s", F.when(top > 0, radius / top).otherwise(1.0))
     return out.withColumns({"x": F.col("x") * F.col("_s"), "y": F.col("y") * F.col("_s")}).drop("_s")
 

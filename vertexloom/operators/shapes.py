@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from vertexloom.functions import transforms as T
 from vertexloom.model import Graph
 from vertexloom.plans.loops import cut
 
-BY_POS = Window.partitionBy("graph_id").orderBy("pos")
-SO_FAR = BY_POS.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-EACH = Window.partitionBy("graph_id")
+
+def by_pos() -> WindowSpec:
+    return Window.partitionBy("graph_id").orderBy("pos")
+
+
+def so_far() -> WindowSpec:
+    return by_pos().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _at(df: DataFrame, x: Column, y: Column) -> DataFrame:
@@ -32,8 +36,8 @@ def circle(g: Graph, radius: float = 1.0, theta: float = 0.0, center=(0.0, 0.0),
         angle = 2 * math.pi * F.col("pos") / F.col("n") + theta
     else:
         df = df.join(sizes, ["graph_id", "pos"])
-        df = df.withColumn("c", F.sum("size").over(SO_FAR) / F.sum("size").over(EACH))
-        angle = F.when(F.col("pos") == 0, 0.0).otherwise(math.pi * (F.lag("c", 1, 0.0).over(BY_POS) + F.col("c"))) + theta
+        df = df.withColumn("c", F.sum("size").over(so_far()) / F.sum("size").over(T.each()))
+        angle = F.when(F.col("pos") == 0, 0.0).otherwise(math.pi * (F.lag("c", 1, 0.0).over(by_pos()) + F.col("c"))) + theta
     df = df.withColumn("angle", angle)
     one = F.col("n") == 1
     return _at(df, F.when(one, 0.0).otherwise(radius * F.cos("angle")) + float(center[0]), F.when(one, 0.0).otherwise(radius * F.sin("angle")) + float(center[1]))
@@ -67,7 +71,7 @@ def random(g: Graph, xmin=-1.0, xmax=1.0, ymin=-1.0, ymax=1.0, seed: int = 0, si
 
 def conflicts(layout: DataFrame, sizes: DataFrame) -> DataFrame:
     """(graph_id, a, b) of the pairs a < b whose disks overlap, by a grid of cells as wide as the largest disk."""
-    d = layout.join(sizes, ["graph_id", "pos"]).withColumn("cell", 2 * F.max("size").over(EACH))
+    d = layout.join(sizes, ["graph_id", "pos"]).withColumn("cell", 2 * F.max("size").over(T.each()))
     d = d.withColumns({"cx": F.floor(F.col("x") / F.col("cell")), "cy": F.floor(F.col("y") / F.col("cell"))})
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     other = d.select("graph_id", F.col("pos").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("size").alias("bs"), near.alias("k"), "cx", "cy")
@@ -79,8 +83,8 @@ def conflicts(layout: DataFrame, sizes: DataFrame) -> DataFrame:
 def shell(g: Graph, shells: DataFrame, scale: float = 1.0, center=(0.0, 0.0), theta: float = 0.0) -> DataFrame:
     """shells(graph_id, pos, shell, j): the j-th of its shell, both from 0."""
     w = Window.partitionBy("graph_id", "shell")
-    df = g.vertices.join(shells, ["graph_id", "pos"]).withColumns({"m": F.count("*").over(w), "k": F.max("shell").over(EACH) + 1})
-    df = df.withColumn("m0", F.max(F.when(F.col("shell") == 0, F.col("m"))).over(EACH))
+    df = g.vertices.join(shells, ["graph_id", "pos"]).withColumns({"m": F.count("*").over(w), "k": F.max("shell").over(T.each()) + 1})
+    df = df.withColumn("m0", F.max(F.when(F.col("shell") == 0, F.col("m"))).over(T.each()))
     r = F.when(F.col("m0") > 1, scale / F.col("k") * (F.col("shell") + 1)).otherwise(F.when(F.col("k") == 1, 0.0).otherwise(scale / (F.col("k") - 1) * F.col("shell")))
     df = df.withColumns({"r": r, "t": theta + 2 * math.pi * F.col("j") / F.col("m")})
     return _at(df, F.col("r") * F.cos("t") + float(center[0]), F.col("r") * F.sin("t") + float(center[1]))
@@ -88,7 +92,7 @@ def shell(g: Graph, shells: DataFrame, scale: float = 1.0, center=(0.0, 0.0), th
 
 def spiral(g: Graph, scale: float = 1.0, center=(0.0, 0.0), slope: float = 0.25, exponent: float = 1.0, theta: float = 0.0) -> DataFrame:
     df = g.sized().withColumn("r", F.pow((F.col("pos") + 1) * F.lit(float(slope)), F.lit(float(exponent))))
-    df = df.withColumns({"t": theta + F.sum(1 / F.col("r")).over(SO_FAR), "s": scale / F.max("r").over(EACH)})
+    df = df.withColumns({"t": theta + F.sum(1 / F.col("r")).over(so_far()), "s": scale / F.max("r").over(T.each())})
     one = F.col("n") == 1
     return _at(df, F.when(one, 0.0).otherwise(F.col("r") * F.col("s") * F.cos("t")) + float(center[0]), F.when(one, 0.0).otherwise(F.col("r") * F.col("s") * F.sin("t")) + float(center[1]))
 

@@ -34,7 +34,7 @@ def rectangular_dendrogram(g: Graph, roots: DataFrame, center=None, orientation:
 
 def _polar(at: DataFrame, orientation: str, theta: float) -> DataFrame:
     sign = 1 if orientation == "left" else -1
-    t = at.withColumn("t", sign * 2 * math.pi * F.col("y") / (F.max("y").over(T.EACH) + 1) + theta)
+    t = at.withColumn("t", sign * 2 * math.pi * F.col("y") / (F.max("y").over(T.each()) + 1) + theta)
     return t.withColumns({"y": F.col("x") * F.sin("t"), "x": F.col("x") * F.cos("t")}).drop("t")
 
 
