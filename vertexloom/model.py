@@ -37,6 +37,10 @@ class Graph:
     def sized(self) -> DataFrame:
         return self.vertices.withColumn("n", F.count("*").over(Window.partitionBy("graph_id")))
 
+    def own_edges(self) -> DataFrame:
+        """The edges with graph_id as a new column g, to be grouped beside vertices of the same origin."""
+        return self.edges.select(F.col("graph_id").alias("g"), "src", "dst", "w")
+
     def both_ways(self) -> DataFrame:
         """The edges, and for an undirected graph their reverses; loops once."""
         if self.directed:
@@ -47,13 +51,14 @@ class Graph:
     def lay_out(self, kernel: Callable[[int, np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], initial: DataFrame | None = None) -> DataFrame:
         """Runs kernel(n, edges, weights, initial) on every graph in a task of its own; for graphs of a few thousand vertices."""
         vs = self.vertices.select("graph_id", "pos")
-        if initial is not None:
+        started = initial is not None
+        if started:
             vs = vs.join(initial.select("graph_id", "pos", "x", "y"), ["graph_id", "pos"], "left")
 
         def run(key, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
             v, e = v.sort_values("pos"), e.sort_values(["src", "dst"])
             start = None
-            if initial is not None:
+            if started:
                 start = v[["x", "y"]].to_numpy(float)
                 if np.isnan(start).any():
                     raise KeyError("a vertex has no initial coordinates")
@@ -62,4 +67,4 @@ class Graph:
             xy = kernel(len(v), e[["src", "dst"]].to_numpy(int), e["w"].to_numpy(float), start)
             return pd.DataFrame({"graph_id": key[0], "pos": v["pos"].to_numpy(), "x": xy[:, 0], "y": xy[:, 1]})
 
-        return vs.groupBy("graph_id").cogroup(self.edges.groupBy("graph_id")).applyInPandas(run, LAYOUT)
+        return vs.groupBy("graph_id").cogroup(self.own_edges().groupBy("g")).applyInPandas(run, LAYOUT)

@@ -68,7 +68,7 @@ def strong_components(g: Graph) -> DataFrame:
             r = s
         return pd.DataFrame({"graph_id": key[0], "pos": np.arange(n), "comp": (r & r.T).argmax(1)})
 
-    return g.vertices.groupBy("graph_id").cogroup(g.edges.groupBy("graph_id")).applyInPandas(run, "graph_id long, pos int, comp int")
+    return g.vertices.groupBy("graph_id").cogroup(g.own_edges().groupBy("g")).applyInPandas(run, "graph_id long, pos int, comp int")
 
 
 def distances(g: Graph, weighted: bool = False) -> DataFrame:

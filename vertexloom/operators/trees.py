@@ -80,12 +80,14 @@ def edgebundle(g: Graph, linkage: DataFrame | None = None, center=(0.0, 0.0), or
     """The layout, and routes(graph_id, src, dst, waypoints). linkage(graph_id, step, c1, c2, dist), else single linkage."""
     schema = "graph_id long, pos int, parent int, layer int, depth double, leaf boolean"
 
+    computed = linkage is None
+
     def tree(key, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        m = single_linkage(len(v), e[["src", "dst"]].to_numpy(int)) if linkage is None else e.sort_values("step")[["c1", "c2", "dist"]].to_numpy(float)
+        m = single_linkage(len(v), e[["src", "dst"]].to_numpy(int)) if computed else e.sort_values("step")[["c1", "c2", "dist"]].to_numpy(float)
         out = linkage_hierarchy(m)
         return out.assign(graph_id=key[0], leaf=out["pos"] < len(m) + 1)[["graph_id", "pos", "parent", "layer", "depth", "leaf"]]
 
-    h = cut(g.vertices.groupBy("graph_id").cogroup((g.edges if linkage is None else linkage).groupBy("graph_id")).applyInPandas(tree, schema))
+    h = cut(g.vertices.groupBy("graph_id").cogroup((g.own_edges() if linkage is None else linkage.select(F.col("graph_id").alias("g"), "step", "c1", "c2", "dist")).groupBy("g")).applyInPandas(tree, schema))
     at = _coordinates(h.select("graph_id", "pos", "parent", "layer")).drop("x", "layer").join(h.select("graph_id", "pos", "depth", "leaf"), ["graph_id", "pos"])
     at = cut(T.shift(_polar(at.withColumn("x", F.col("depth")), orientation, theta), center))
     up = cut(h.select("graph_id", F.col("pos").alias("node"), F.col("pos").alias("above"), F.lit(0).alias("k"), "parent"))

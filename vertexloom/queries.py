@@ -1,4 +1,377 @@
-"""The registered queries of the layout engine and their SQL."""
+"""The registered queries of the layout engine, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from vertexloom.functions import transforms as T
+from vertexloom.model import Graph
+from vertexloom.operators import kernels as K
+from vertexloom.operators import layered as L
+from vertexloom.operators import manifold as M
+from vertexloom.operators import packing as P
+from vertexloom.operators import primitives as G
+from vertexloom.operators import shapes as S
+from vertexloom.operators import stress as X
+from vertexloom.operators import trees as R
+from vertexloom.sources import graphs as src
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+PI = math.pi
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def by_v(layout: DataFrame, g: Graph | None = None) -> DataFrame:
+    """v, x, y, rounded; with g, v is looked up by position."""
+    if g is not None:
+        layout = layout.drop("v").join(g.vertices, ["graph_id", "pos"])
+    return layout.select(F.col("v").cast("long").alias("v"), T.tidy(F.col("x")).alias("x"), T.tidy(F.col("y")).alias("y"))
+
+
+def by_graph(layout: DataFrame) -> DataFrame:
+    return layout.select("graph_id", F.col("pos").cast("long").alias("pos"), T.tidy(F.col("x")).alias("x"), T.tidy(F.col("y")).alias("y"))
+
+
+CUSTOMERS = "v AS (SELECT c_custkey AS v, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer)"
+NATIONS = "v AS (SELECT CAST(n_nationkey AS BIGINT) AS v, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS n FROM nation)"
+XY = "CAST(v AS BIGINT) AS v, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y"
+
+
+def shape(name: str, make, points: str, source=src.customers, rows: str = CUSTOMERS) -> None:
+    """A closed-form layout and its SQL: points gives x and y of the numbered vertices v(v, i, n)."""
+    query(name, f"WITH {rows}, p AS ({points}) SELECT {XY} FROM p")(lambda spark, d: by_v(make(source(spark, d))))
+
+
+shape("layout_line", lambda g: S.line(g, 0.5, 2.0), "SELECT v, i * cos(0.5) * 2.0 AS x, i * sin(0.5) * 2.0 AS y FROM v")
+shape("layout_circle", lambda g: S.circle(g, 2.0, 0.25, (1.0, -1.0)), "SELECT v, 2 * cos(2 * pi() * i / n + 0.25) + 1 AS x, 2 * sin(2 * pi() * i / n + 0.25) - 1 AS y FROM v", src.nations, NATIONS)
+shape("layout_spiral", lambda g: S.spiral(g, slope=0.3), "SELECT v, r / max(r) OVER () * cos(t) AS x, r / max(r) OVER () * sin(t) AS y FROM (SELECT *, sum(1 / r) OVER (ORDER BY i) AS t FROM (SELECT v, i, (i + 1) * CAST(0.3 AS DOUBLE) AS r FROM v))")
+shape("layout_grid_square", lambda g: S.grid(g, 7), "SELECT v, CAST(i % 7 AS DOUBLE) AS x, CAST(i // 7 AS DOUBLE) AS y FROM v")
+shape("layout_grid_triangle", lambda g: S.grid(g, 7, "triangle"), "SELECT v, i % 7 + 0.5 * (i // 7 % 2) AS x, i // 7 * sqrt(3.0) / 2 AS y FROM v")
+shape("layout_grid_trimmed", lambda g: S.grid(g, 7, "triangle", True), "SELECT v, CASE WHEN i % 13 < 7 THEN i % 13 ELSE i % 13 - 6.5 END AS x, (2 * (i // 13) + CASE WHEN i % 13 < 7 THEN 0 ELSE 1 END) * sqrt(3.0) / 2 AS y FROM v")
+HASH = "CAST((((i * 48271 + {s} * 69621 + 1) % 2147483647) * ((i * 48271 + {s} * 69621 + 1) % 2147483647) + i + 11) % 2147483647 AS DOUBLE) / CAST(2147483647 AS DOUBLE)"
+shape("layout_random", lambda g: S.random(g, seed=3), f"SELECT v, -1 + 2 * ({HASH.format(s=6)}) AS x, -1 + 2 * ({HASH.format(s=7)}) AS y FROM v")
+shape("tf_recenter", lambda g: T.recenter(S.spiral(g, slope=0.3), (10.0, 20.0)), "SELECT v, x - m + 10 AS x, y - m + 20 AS y FROM (SELECT *, (least(min(x) OVER (), min(y) OVER ()) + greatest(max(x) OVER (), max(y) OVER ())) / 2 AS m FROM (SELECT v, r / max(r) OVER () * cos(t) AS x, r / max(r) OVER () * sin(t) AS y FROM (SELECT *, sum(1 / r) OVER (ORDER BY i) AS t FROM (SELECT v, i, (i + 1) * CAST(0.3 AS DOUBLE) AS r FROM v))))")
+shape("tf_rescale", lambda g: T.rescale(S.grid(g, 7), 3.0), "SELECT v, x * s AS x, y * s AS y FROM (SELECT *, 3.0 / greatest(max(x) OVER () - min(x) OVER (), max(y) OVER () - min(y) OVER ()) AS s FROM (SELECT v, CAST(i % 7 AS DOUBLE) AS x, CAST(i // 7 AS DOUBLE) AS y FROM v))")
+shape("tf_rotate_mean_shift", lambda g: T.mean_shift(T.rotate(S.grid(g, 7), 0.3)), "SELECT v, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y FROM (SELECT v, (i % 7) * cos(0.3) + (i // 7) * sin(0.3) AS x, (i // 7) * cos(0.3) - (i % 7) * sin(0.3) AS y FROM v)")
+
+
+@query("tf_recenter_many", f"WITH {CUSTOMERS}, p AS (SELECT v, x - (min(x) OVER () + max(x) OVER ()) / 2 + 1 AS x, y - (min(y) OVER () + max(y) OVER ()) / 2 + 2 AS y FROM (SELECT v, CAST(i % 7 AS DOUBLE) AS x, CAST(i // 7 AS DOUBLE) AS y FROM v)) SELECT {XY} FROM p")
+def _(spark, d):
+    return by_v(T.recenter_many(S.grid(src.customers(spark, d), 7), (1.0, 2.0)))
+
+
+@query("layout_circle_sizes", f"WITH {CUSTOMERS}, s AS (SELECT v, i, c_acctbal - min(c_acctbal) OVER () + 1 AS s FROM v JOIN customer ON c_custkey = v), c AS (SELECT v, i, sum(s) OVER (ORDER BY i) / sum(s) OVER () AS c FROM s), p AS (SELECT v, cos(CASE WHEN i = 0 THEN 0.0 ELSE pi() * (lag(c) OVER (ORDER BY i) + c) END) AS x, sin(CASE WHEN i = 0 THEN 0.0 ELSE pi() * (lag(c) OVER (ORDER BY i) + c) END) AS y FROM c) SELECT {XY} FROM p")
+def _(spark, d):
+    g = src.customers(spark, d)
+    c = src.table(spark, d, "customer")
+    low = c.agg(F.min("c_acctbal").alias("m"))
+    size = g.vertices.join(c, F.col("v") == F.col("c_custkey")).join(F.broadcast(low)).select("graph_id", "pos", (F.col("c_acctbal") - F.col("m") + 1).alias("size"))
+    return by_v(S.circle(g, sizes=size))
+
+
+@query("layout_random_conflicts", f"WITH {NATIONS}, p AS (SELECT i, -1 + 2 * ({HASH.format(s=6)}) AS x, -1 + 2 * ({HASH.format(s=7)}) AS y FROM v) SELECT CAST(a.i AS BIGINT) AS a, CAST(b.i AS BIGINT) AS b FROM p a JOIN p b ON a.i < b.i AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 0.3")
+def _(spark, d):
+    g = src.nations(spark, d)
+    hit = S.conflicts(S.random(g, seed=3), g.vertices.select("graph_id", "pos", F.lit(0.15).alias("size")))
+    return hit.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+
+TREE = """e AS (SELECT CAST(0 AS BIGINT) AS s, CAST(r_regionkey + 1 AS BIGINT) AS t, 1 AS l FROM region UNION ALL SELECT n_regionkey + 1, n_nationkey + 6, 2 FROM nation UNION ALL SELECT c_nationkey + 6, c_custkey + 31, 3 FROM customer),
+t AS (SELECT CAST(0 AS BIGINT) AS v, CAST(-1 AS BIGINT) AS parent, 0 AS l UNION ALL SELECT t, s, l FROM e)"""
+
+
+def _tree(spark, d):
+    g = src.tree(spark, d)
+    return g, g.vertices.where("v = 0").select("graph_id", "pos")
+
+
+def _levels(spark, d):
+    g, root = _tree(spark, d)
+    at = G.bfs(g, root)
+    return g, at.withColumn("j", F.row_number().over(Window.partitionBy("graph_id", "layer").orderBy("pos")) - 1)
+
+
+@query("graph_bfs", f"WITH {TREE} SELECT v, parent, CAST(l AS BIGINT) AS layer FROM t")
+def _(spark, d):
+    g, root = _tree(spark, d)
+    name = g.vertices.select("graph_id", F.col("pos").alias("parent"), F.col("v").alias("p"))
+    out = G.bfs(g, root).join(g.vertices, ["graph_id", "pos"]).join(name, ["graph_id", "parent"], "left")
+    return out.select("v", F.coalesce("p", F.lit(-1).cast("long")).alias("parent"), F.col("layer").cast("long").alias("layer"))
+
+
+@query("layout_shell", f"WITH {TREE}, q AS (SELECT v, l, row_number() OVER (PARTITION BY l ORDER BY v) - 1 AS j, count(*) OVER (PARTITION BY l) AS m FROM t), p AS (SELECT v, l / 3.0 * cos(2 * pi() * j / m) AS x, l / 3.0 * sin(2 * pi() * j / m) AS y FROM q) SELECT {XY} FROM p")
+def _(spark, d):
+    g, at = _levels(spark, d)
+    return by_v(S.shell(g, at.select("graph_id", "pos", F.col("layer").alias("shell"), "j")))
+
+
+MULTI = f"WITH {TREE}, q AS (SELECT v, l, row_number() OVER (PARTITION BY l ORDER BY v) - 1 AS j, count(*) OVER (PARTITION BY l) AS m FROM t), p AS (SELECT v, 2 * l * cos(0.5) + ({{y}}) * sin(0.5) AS x, ({{y}}) * cos(0.5) - 2 * l * sin(0.5) AS y FROM q) SELECT {XY} FROM p"
+
+
+@query("layout_multipartite", MULTI.format(y="j"))
+def _(spark, d):
+    g, at = _levels(spark, d)
+    return by_v(S.multipartite(g, at.select("graph_id", "pos", "layer", "j"), 2.0, 0.5))
+
+
+@query("layout_multipartite_centered", MULTI.format(y="j - (m - 1) / 2.0"))
+def _(spark, d):
+    g, at = _levels(spark, d)
+    return by_v(S.multipartite(g, at.select("graph_id", "pos", "layer", "j"), 2.0, 0.5, True))
+
+
+DENDRO = TREE + """, y0 AS (SELECT v, parent, l, CASE WHEN l = 3 THEN row_number() OVER (PARTITION BY leaf ORDER BY v) - 1 ELSE CASE WHEN leaf THEN row_number() OVER (PARTITION BY leaf ORDER BY v) - 1 ELSE 0 END END AS y FROM (SELECT *, v NOT IN (SELECT s FROM e) AS leaf FROM t)),
+m AS (SELECT parent AS v, avg(CAST(y AS DOUBLE)) AS m FROM y0 WHERE l > 1 GROUP BY parent), d AS (SELECT y0.v, CAST(l AS DOUBLE) AS x, coalesce(m, CAST(y AS DOUBLE)) AS y FROM y0 LEFT JOIN m ON m.v = y0.v)"""
+for _turn, _xy in {"right": "x, y", "left": "-x AS x, y", "up": "y AS x, x AS y", "down": "y AS x, -x AS y"}.items():
+    query(f"tree_rectangular_{_turn}", f"WITH {DENDRO}, p AS (SELECT v, {_xy} FROM d) SELECT {XY} FROM p")(lambda spark, d, o=_turn: by_v(R.rectangular_dendrogram(*_tree(spark, d), orientation=o), _tree(spark, d)[0]))
+
+
+@query("tree_circular", f"WITH {DENDRO}, p AS (SELECT v, x * cos(-2 * pi() * y / (max(y) OVER () + 1)) AS x, x * sin(-2 * pi() * y / (max(y) OVER () + 1)) AS y FROM d) SELECT {XY} FROM p")
+def _(spark, d):
+    g, root = _tree(spark, d)
+    return by_v(R.circular_dendrogram(g, root), g)
+
+
+SP = "e AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000000 AS t FROM lineitem)"
+
+
+@query("graph_degrees", f"WITH {SP}, b AS (SELECT s AS v FROM e UNION ALL SELECT t FROM e) SELECT v, count(*) AS degree FROM b GROUP BY v")
+def _(spark, d):
+    return G.degrees(src.supplies(spark, d)).select("v", "degree")
+
+
+@query("layout_bipartite", f"WITH {SP}, v AS (SELECT DISTINCT s AS v, 0 AS side FROM e UNION SELECT DISTINCT t, 1 FROM e), r AS (SELECT v, side, row_number() OVER (PARTITION BY side ORDER BY v) - 1 AS i FROM v), p AS (SELECT v, CASE WHEN side = 0 THEN i * sin(0.5) ELSE 3 * cos(0.5) + i * sin(0.5) END AS x, CASE WHEN side = 0 THEN i * cos(0.5) ELSE -3 * sin(0.5) + i * cos(0.5) END AS y FROM r) SELECT {XY} FROM p")
+def _(spark, d):
+    g = src.supplies(spark, d)
+    return by_v(S.bipartite(g, g.vertices.select("graph_id", "pos", (F.col("v") >= 1_000_000_000).cast("int").alias("side")), 3.0, 0.5))
+
+
+@query("layout_bipartite_discovered", f"WITH {SP}, c AS (SELECT DISTINCT s AS v, 0 AS side FROM e UNION SELECT DISTINCT t, 1 FROM e) SELECT v, CAST(side AS BIGINT) AS side FROM c")
+def _(spark, d):
+    g = src.supplies(spark, d)
+    return G.bipartition(g).join(g.vertices, ["graph_id", "pos"]).select("v", F.col("side").cast("long").alias("side"))
+
+
+TRADE = """w0 AS (SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, CAST(count(*) AS DOUBLE) AS w FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
+w AS (SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, w FROM w0 WHERE w > (SELECT avg(w) FROM w0))"""
+ON_CIRCLE = "c AS (SELECT CAST(n_nationkey AS BIGINT) AS v, cos(2 * pi() * n_nationkey / (SELECT count(*) FROM nation)) AS x, sin(2 * pi() * n_nationkey / (SELECT count(*) FROM nation)) AS y FROM nation)"
+
+
+@query("graph_adjacency", f"WITH {TRADE} SELECT a AS src, b AS dst, w FROM w UNION ALL SELECT b, a, w FROM w")
+def _(spark, d):
+    return G.adjacency(src.trade(spark, d)).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "w")
+
+
+@query("graph_components", "SELECT conv_id AS graph_id, count(DISTINCT turn) AS n, CAST(1 AS BIGINT) AS components FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    return G.components(src.chats(spark, d)).groupBy("graph_id").agg(F.count("*").alias("n"), F.countDistinct("comp").alias("components"))
+
+
+@query("graph_connected", "SELECT DISTINCT conv_id AS graph_id, true AS connected FROM conversations")
+def _(spark, d):
+    return G.is_connected(src.chats(spark, d))
+
+
+@query("graph_distances", "SELECT a.conv_id AS graph_id, a.turn AS i, b.turn AS j, CAST((b.turn - a.turn) // 3 + (b.turn - a.turn) % 3 AS DOUBLE) AS d FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn >= a.turn")
+def _(spark, d):
+    return G.distances(src.chats(spark, d)).select("graph_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "d")
+
+
+@query("graph_strong_components")
+def _(spark, d):
+    return G.strong_components(src.chats(spark, d))
+
+
+CHAT = "e AS (SELECT a.conv_id AS g, a.turn AS s, b.turn AS t FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn - a.turn IN (1, 3))"
+
+
+@query("dag_layers", "SELECT conv_id AS graph_id, turn AS pos, turn AS layer FROM conversations")
+def _(spark, d):
+    return L.longest_path(src.chats(spark, d)).select("graph_id", F.col("pos").cast("long").alias("pos"), F.col("layer").cast("long").alias("layer"))
+
+
+@query("dag_initial_x", "SELECT conv_id AS graph_id, turn AS pos, CAST(0 AS BIGINT) AS x FROM conversations")
+def _(spark, d):
+    g = src.chats(spark, d)
+    return L.initial_x(L.longest_path(g)).select("graph_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("long").alias("x"))
+
+
+@query("dag_ghosts", f"WITH {CHAT} SELECT g AS graph_id, s AS src, t AS dst, unnest(range(s + 1, t)) AS layer FROM e WHERE t - s > 1")
+def _(spark, d):
+    g = src.chats(spark, d)
+    return L.ghosts(g, L.longest_path(g)).select("graph_id", *[F.col(c).cast("long").alias(c) for c in ("src", "dst", "layer")])
+
+
+@query("dag_barycenters", f"WITH {TREE}, x AS (SELECT v, l, CAST(row_number() OVER (PARTITION BY l ORDER BY v) - 1 AS DOUBLE) AS x FROM t) SELECT t.v, round(p.x, 6) + 0.0 AS bary FROM t JOIN x p ON p.v = t.parent UNION ALL SELECT 0, 0.0")
+def _(spark, d):
+    g = src.tree(spark, d)
+    layer = L.longest_path(g)
+    return L.barycenters(g, L.initial_x(layer)).join(g.vertices, ["graph_id", "pos"]).select("v", T.tidy(F.col("bary")).alias("bary"))
+
+
+@query("dag_sugiyama")
+def _(spark, d):
+    return by_graph(src.chats(spark, d).lay_out(K.sugiyama))
+
+
+DIST = "d AS (SELECT a.conv_id AS g, a.turn AS i, b.turn AS j, CAST(abs(b.turn - a.turn) // 3 + abs(b.turn - a.turn) % 3 AS DOUBLE) AS d0 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id)"
+
+
+@query("mds_double_centering", """WITH c AS (SELECT conv_id AS g, turn AS i FROM conversations), d AS (SELECT a.g, a.i, b.i AS j, power(abs(b.i - a.i), 2.0) AS q FROM c a JOIN c b ON a.g = b.g)
+SELECT g AS graph_id, i, j, round(-0.5 * (q - avg(q) OVER (PARTITION BY g, i) - avg(q) OVER (PARTITION BY g, j) + avg(q) OVER (PARTITION BY g)), 6) + 0.0 AS b FROM d""")
+def _(spark, d):
+    g = src.chats(spark, d)
+    chain = Graph(g.vertices, g.edges.where("dst = src + 1"), False)
+    return X.double_centered(G.distances(chain)).select("graph_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), T.tidy(F.col("b")).alias("b"))
+
+
+@query("stress_value", f"WITH {TRADE}, {ON_CIRCLE} SELECT round(sum(w * (sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) - 1) * (sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) - 1)), 6) + 0.0 AS stress FROM w JOIN c p ON p.v = a JOIN c q ON q.v = b")
+def _(spark, d):
+    g = src.trade(spark, d)
+    return X.stress(X.edge_lengths(g, S.circle(g))).select(T.tidy(F.col("stress")).alias("stress"))
+
+
+@query("stress_lx", f"WITH {TRADE}, {ON_CIRCLE}, l AS (SELECT a, b, -1 / sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS m FROM w JOIN c p ON p.v = a JOIN c q ON q.v = b), s AS (SELECT a AS i, b AS j, m FROM l UNION ALL SELECT b, a, m FROM l) SELECT i, j, round(m, 6) + 0.0 AS m FROM (SELECT * FROM s UNION ALL SELECT i, i, -sum(m) FROM s GROUP BY i)")
+def _(spark, d):
+    g = src.trade(spark, d)
+    return X.laplacian(X.edge_lengths(g, S.circle(g))).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), T.tidy(F.col("m")).alias("m"))
+
+
+PAIRS = "d AS (SELECT p.v AS i, q.v AS j, p.x - q.x AS dx, p.y - q.y AS dy, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM c p JOIN c q ON p.v <> q.v)"
+
+
+@query("force_arf_step", f"WITH {TRADE}, {ON_CIRCLE}, {PAIRS}, f AS (SELECT j, sum((CASE WHEN w.w IS NULL THEN 1.0 ELSE 1.1 END - 5.0 / d) * dx) AS fx, sum((CASE WHEN w.w IS NULL THEN 1.0 ELSE 1.1 END - 5.0 / d) * dy) AS fy FROM d LEFT JOIN w ON w.a = d.i AND w.b = d.j GROUP BY j), p AS (SELECT v, x + 0.001 * fx AS x, y + 0.001 * fy AS y FROM c JOIN f ON j = v) SELECT {XY} FROM p")
+def _(spark, d):
+    g = src.trade(spark, d)
+    return by_v(X.arf_step(g, S.circle(g)), g)
+
+
+@query("force_fr_step", f"WITH {TRADE}, {ON_CIRCLE}, {PAIRS}, f AS (SELECT i, sum(dx * (0.04 / (d * d) - CASE WHEN w.w IS NULL THEN 0.0 ELSE w.w END * d / 0.2)) AS fx, sum(dy * (0.04 / (d * d) - CASE WHEN w.w IS NULL THEN 0.0 ELSE w.w END * d / 0.2)) AS fy FROM d LEFT JOIN w ON w.a = least(d.i, d.j) AND w.b = greatest(d.i, d.j) GROUP BY i), p AS (SELECT v, x + fx * least(sqrt(fx * fx + fy * fy), 0.1) / sqrt(fx * fx + fy * fy) AS x, y + fy * least(sqrt(fx * fx + fy * fy), 0.1) / sqrt(fx * fx + fy * fy) AS y FROM c JOIN f ON i = v) SELECT {XY} FROM p")
+def _(spark, d):
+    g = src.trade(spark, d)
+    return by_v(X.fr_step(g, S.circle(g), 0.2, 0.1), g)
+
+
+def kernel(name: str, f, source=src.trade, **options) -> None:
+    def run(spark, d):
+        g = source(spark, d)
+        lay = g.lay_out(lambda n, e, w, p: f(n, e, w, p, **options), S.circle(g) if f in (K.arf, K.spring, K.forceatlas2) else None)
+        return by_graph(lay)
+
+    query(name)(run)
+
+
+kernel("force_arf", K.arf, max_iter=100)
+kernel("force_spring", K.spring)
+kernel("force_spring_energy", K.spring_energy)
+kernel("force_fa2", K.forceatlas2)
+kernel("force_gem", K.gem, src.chats, max_iter=200)
+kernel("force_lgl", K.lgl, src.tree)
+kernel("force_geometric", lambda n, e, w, p: K.geometric(n, e[e[:, 1] == e[:, 0] + 1], np.ones(int((e[:, 1] == e[:, 0] + 1).sum())), p), src.chats)
+kernel("layout_kamada_kawai", K.kamada_kawai)
+kernel("layout_neato", K.neato)
+kernel("mds_layout", K.mds, src.chats)
+
+
+@query("lgl_cells", f"WITH {CUSTOMERS}, p AS (SELECT v, cos(2 * pi() * i / n) AS x, sin(2 * pi() * i / n) AS y FROM v) SELECT v, CAST(floor((round(x, 6) + 1) / 0.1) AS BIGINT) AS cx, CAST(floor((round(y, 6) + 1) / 0.1) AS BIGINT) AS cy FROM p")
+def _(spark, d):
+    at = T.tidied(S.circle(src.customers(spark, d)))
+    return at.select("v", F.floor((F.col("x") + 1) / F.lit(0.1)).cast("long").alias("cx"), F.floor((F.col("y") + 1) / F.lit(0.1)).cast("long").alias("cy"))
+
+
+def _knn(spark, d):
+    e = src.table(spark, d, "embeddings")
+    return M.knn(e.select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("e")), 5)
+
+
+KNN = "k AS (SELECT source, target, distance FROM (SELECT a.vec_id AS source, b.vec_id AS target, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r <= 5)"
+PROB = KNN + ", r AS (SELECT source, min(distance) AS rho, avg(distance) AS sigma FROM k GROUP BY source), w AS (SELECT k.source, target, CASE WHEN distance <= rho THEN 1.0 ELSE exp(-(distance - rho) / sigma) END AS weight FROM k JOIN r ON r.source = k.source)"
+
+
+def _weights(spark, d):
+    """Memberships with the mean distance as bandwidth, which SQL can follow."""
+    k = _knn(spark, d)
+    r = k.groupBy("source").agg(F.min("distance").alias("rho"), F.avg("distance").alias("sigma"))
+    return k.join(r, "source").select("source", "target", M.probability(F.col("distance"), F.col("sigma"), F.col("rho")).alias("weight"))
+
+
+@query("knn_graph", f"WITH {KNN} SELECT source, target, round(distance, 6) + 0.0 AS distance FROM k")
+def _(spark, d):
+    return _knn(spark, d).select("source", "target", T.tidy(F.col("distance")).alias("distance"))
+
+
+@query("umap_probability", f"WITH {PROB} SELECT source, target, round(weight, 6) + 0.0 AS weight FROM w")
+def _(spark, d):
+    return _weights(spark, d).withColumn("weight", T.tidy(F.col("weight")))
+
+
+for _how, _sql in {"union": "sum(weight) - (count(*) - 1) * product(weight)", "intersection": "product(weight)", "max": "max(weight)", "min": "min(weight)", "mean": "avg(weight)"}.items():
+    query(f"umap_symmetrise_{_how}", f"WITH {PROB} SELECT least(source, target) AS source, greatest(source, target) AS target, round({_sql}, 6) + 0.0 AS weight FROM w GROUP BY 1, 2")(
+        lambda spark, d, how=_how: M.symmetrise(_weights(spark, d), how).withColumn("weight", T.tidy(F.col("weight"))))
+
+
+@query("umap_firing_epochs", f"WITH {PROB} SELECT source, target, CAST(least(floor(99 * weight), 100) AS BIGINT) AS fired FROM w")
+def _(spark, d):
+    return M.firing(_weights(spark, d), 100)
+
+
+@query("umap_sigma_rho")
+def _(spark, d):
+    return M.sigmas(_knn(spark, d))
+
+
+@query("umap_layout")
+def _(spark, d):
+    k = _knn(spark, d)
+    w = k.join(M.sigmas(k), "source").select("source", "target", M.probability(F.col("distance"), F.col("sigma"), F.col("rho")).alias("weight"))
+    e = M.symmetrise(w).select(F.col("source").alias("src"), F.col("target").alias("dst"), F.col("weight").alias("w"))
+    g = Graph.of(src.table(spark, d, "embeddings").select(F.col("vec_id").alias("v")), e)
+    return by_v(g.lay_out(lambda n, e, w, p: K.umap(n, e, w, p, max_iter=20)), g)
+
+
+@query("umap_jacobi_epoch")
+def _(spark, d):
+    g = src.trade(spark, d)
+    e = g.edges.select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    out = M.jacobi_epoch(e, S.circle(g).select(F.col("pos").alias("v"), "x", "y"), 1.5, 0.9, 0.5)
+    return out.select(F.col("v").cast("long").alias("v"), T.tidy(F.col("x")).alias("x"), T.tidy(F.col("y")).alias("y"))
+
+
+@query("route_edgebundle")
+def _(spark, d):
+    return R.edgebundle(src.trade(spark, d))[1]
+
+
+def _circles(spark, d):
+    return S.circle(src.chats(spark, d)).select(F.col("graph_id").alias("layout_id"), F.col("pos").alias("id"), "x", "y")
+
+
+@query("pack_bbox", """WITH v AS (SELECT conv_id AS g, turn AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), p AS (SELECT g, CASE WHEN n = 1 THEN 0.0 ELSE cos(2 * pi() * i / n) END AS x, CASE WHEN n = 1 THEN 0.0 ELSE sin(2 * pi() * i / n) END AS y FROM v),
+b AS (SELECT g, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, max(x) - min(x) AS w, max(y) - min(y) AS h FROM p GROUP BY g)
+SELECT b.g AS layout_id, round(max(w), 6) + 0.0 AS width, round(max(h), 6) + 0.0 AS height, round(max((x - cx) * (x - cx) + (y - cy) * (y - cy)), 6) + 0.0 AS r2 FROM p JOIN b ON b.g = p.g GROUP BY b.g""")
+def _(spark, d):
+    return P.boxes(_circles(spark, d)).select("layout_id", *[T.tidy(F.col(c)).alias(c) for c in ("width", "height", "r2")])
+
+
+@query("pack_circular")
+def _(spark, d):
+    return P.circular(_circles(spark, d))
+
+
+@query("pack_rectangular")
+def _(spark, d):
+    return P.rectangular(_circles(spark, d), padding=0.2)

@@ -14,12 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def customers(spark, sf_dir) -> Graph:
     v = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"))
-    return Graph.of(v, v.limit(0).select(F.col("v").alias("src"), F.col("v").alias("dst")))
+    return Graph.of(v, v.where("false").select(F.col("v").alias("src"), F.col("v").alias("dst")))
 
 
 def nations(spark, sf_dir) -> Graph:
     v = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("v"))
-    return Graph.of(v, v.limit(0).select(F.col("v").alias("src"), F.col("v").alias("dst")))
+    return Graph.of(v, v.where("false").select(F.col("v").alias("src"), F.col("v").alias("dst")))
 
 
 def tree(spark, sf_dir) -> Graph:
