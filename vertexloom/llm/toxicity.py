@@ -143,7 +143,7 @@ def words_of(text: str, lm: np.ndarray, memo: dict[str, list[str]]) -> Iterator[
     for token in low.split():
         got = memo.get(token)
         if got is None:
-            if len(memo) > 300_000:  # bounds memory; what was dropped is worked out again
+            if len(memo) > 60_000:  # bounds memory; what was dropped is worked out again
                 memo.clear()
             got = memo[token] = restored(token, lm)
         yield from got
@@ -164,7 +164,7 @@ class Lexicon:
     def weigh(self, word: str) -> float:
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             if word[0:1] == "~":
                 found = self.inside.findall(word) + self.inside.findall(RUN.sub(r"\1", word)) if self.inside else []
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm, sample: int, least: int = 8) ->
                 for f in {f for w in set(words_of(text, lm.value, memo)) if w[0:1] != "~" for f in features(w)}:
                     n[f][1 if y else 0] += 1
                 n[""][1 if y else 0] += 1
-            if len(n) > 1_000_000:
+            if len(n) > 150_000:
                 yield _counts(n)
                 n.clear()
         yield _counts(n)
