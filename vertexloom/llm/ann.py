@@ -77,17 +77,21 @@ def search(q_ids, q, ids, codes, length, fit, v, mean, turn, k) -> tuple[np.ndar
     scale = length / np.maximum(fit, 1e-9) / np.sqrt(d)
     slack = length * np.sqrt(np.maximum(1 - fit**2, 0)) / np.maximum(fit, 1e-9) / np.sqrt(max(d - 1, 1)) * BOUND
     out: list[list[np.ndarray]] = [[], [], []]
-    for i in range(len(q)):
-        estimate = base[i] + (signs @ turned[i]) * scale
-        error = slack * norm[i] + 1e-6 * (1 + np.abs(estimate))
-        low = np.where(ids == q_ids[i], -np.inf, estimate - error)
-        bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-        near = np.flatnonzero((estimate + error >= bar) & (ids != q_ids[i]))
-        score = np.zeros(len(near))
+    for a in range(0, len(q), 128):  # bounds the matrix of estimates
+        part, own = q[a : a + 128], q_ids[a : a + 128]
+        estimate = (turned[a : a + 128] @ signs.T) * scale.astype(np.float32) + base[a : a + 128, None].astype(np.float32)
+        error = norm[a : a + 128, None].astype(np.float32) * slack.astype(np.float32) + np.float32(1e-5) * (1 + np.abs(estimate))
+        other = own[:, None] != ids[None]
+        low = np.where(other, estimate - error, -np.inf)
+        bar = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else np.float32(-np.inf)
+        i, near = np.nonzero((estimate + error >= bar) & other)
+        score = np.zeros(len(i))
         for j in range(d):  # in the order of the components, as a plain sum would run
-            score += q[i, j] * v[near, j]
-        best = np.lexsort((ids[near], -score))[:k]
-        for x, y in zip(out, (np.full(len(best), q_ids[i]), ids[near][best], score[best])):
+            score += part[i, j] * v[near, j]
+        order = np.lexsort((ids[near], -score, i))
+        i, near, score = i[order], near[order], score[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        for x, y in zip(out, (own[i[best]], ids[near[best]], score[best])):
             x.append(y)
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
 

@@ -10,7 +10,7 @@ j = c * s / (L + (1 - c) * s). Bands of one MinHash each are set so that
 template is verified by exact containment of the template's shingles.
 
 Windows' MinHashes are minima of blocks of two shingles, halved level by level,
-over the whole text; memory is bounded by one text's hashes.
+over the whole texts; memory is bounded by a MB of texts, or one longer text.
 
 Defined results: a null text, or one shorter than a template, can't contain it;
 windows of one template that overlap are one match, with the best containment;
@@ -31,6 +31,8 @@ from vertexloom.llm.jaccard import STEP, mix
 from vertexloom.llm.shared import table
 
 GRAM = 5
+#: So many characters of texts are scanned at once.
+CHUNK = 1 << 20
 # What the licenses say.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0"],
@@ -93,21 +95,20 @@ class Scanner:
                 self.plans.setdefault(min(GRAM, len(h)), {}).setdefault(size, []).append((name, s, bands))
         self.odd = np.random.default_rng(5).integers(1, 1 << 63, self.bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def scan(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(license, first word, words, containment)."""
+    def scan(self, texts: list[str]) -> list[tuple[int, str, int, int, float]]:
+        """(index of the text, license, first word, words, containment). The texts' shingles stand in one row: windows may span texts, matches don't."""
         out = []
-        h = word_hashes(text)
+        hashes = [word_hashes(t) for t in texts]
         for gram, sizes in self.plans.items():
-            g = shingles(h, gram)
+            each = [shingles(h, gram) for h in hashes]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            g = np.concatenate(each) if each else np.zeros(0, np.uint64)
             if not len(g):
                 continue
             found: dict[tuple[int, int], set[int]] = {}
             for k, odd in enumerate(self.odd):
                 wanted = {size: [i for i, (_, _, bands) in enumerate(ts) if k < bands] for size, ts in sizes.items()}
-                if not any(wanted.values()):
-                    break
-                p = g * odd
-                half, low = 1, p  # minima of blocks of `half` shingles
+                half, low = 1, g * odd  # minima of blocks of `half` shingles
                 for size in sorted(s for s in sizes if wanted[s]):
                     while half < size // 2:
                         if len(low) % 2:
@@ -124,20 +125,20 @@ class Scanner:
                 last = None
                 for w in sorted(starts):
                     a = w * size // 2
-                    part = g[a : a + size]
-                    inside = np.isin(part, s)
-                    share = len(np.unique(part[inside])) / len(s)
-                    if share < self.need:
-                        continue
-                    at = np.flatnonzero(inside)
-                    lo, hi = a + int(at[0]), a + int(at[-1]) + gram
-                    if last and lo < last[2]:
-                        last = (name, last[1], max(hi, last[2]), max(share, last[3]))
-                        out[-1] = last
-                    else:
-                        last = (name, lo, hi, share)
-                        out.append(last)
-        return [(n, a, b - a, c) for n, a, b, c in sorted(out)]
+                    for d in range(int(np.searchsorted(offsets, a, side="right")) - 1, int(np.searchsorted(offsets, min(a + size, len(g)) - 1, side="right"))):
+                        lo, hi = max(a, int(offsets[d])), min(a + size, int(offsets[d + 1]))
+                        at = np.flatnonzero(np.isin(g[lo:hi], s)) + lo
+                        share = len(np.unique(g[at])) / len(s)
+                        if share < self.need:
+                            continue
+                        lo, hi = int(at[0] - offsets[d]), int(at[-1] - offsets[d]) + gram
+                        if last and d == last[0] and lo < last[3]:
+                            last = (d, name, last[2], max(hi, last[3]), max(share, last[4]))
+                            out[-1] = last
+                        else:
+                            last = (d, name, lo, hi, share)
+                            out.append(last)
+        return [(d, n, a, b - a, c) for d, n, a, b, c in sorted(out)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.75, sure: float = 0.9999) -> DataFrame:
@@ -149,10 +150,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
         scanner = Scanner(own, containment, sure)
         for batch in batches:
             owner, rows = [], []
+            texts, first, size = [], 0, 0
             for k, text in enumerate(batch.column(1)):
-                for row in scanner.scan(text.as_py() or ""):
-                    owner.append(k)
-                    rows.append(row)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size > CHUNK or k == batch.num_rows - 1:
+                    for d, *row in scanner.scan(texts):
+                        owner.append(first + d)
+                        rows.append(row)
+                    texts, first, size = [], k + 1, 0
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64())))],
