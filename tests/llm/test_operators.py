@@ -77,6 +77,37 @@ def test_simhash_is_brute_force(spark):
         assert got[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
 
 
+def word_edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (a != b))
+    return row[-1]
+
+
+def test_line_bounds_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(3)
+    lines = []
+    for size in (10, 11, 25, 60):
+        base = [f"w{rng.integers(900)}ord"[: rng.integers(3, 8)] for _ in range(size)]
+        for n_edits in (0, 1, 1, 2, 3, 5, 6, 7):
+            w = list(base)
+            for _ in range(n_edits):
+                k = int(rng.integers(len(w)))
+                kind = rng.integers(3)
+                w[k : k + (kind > 0)] = [] if kind == 2 else [f"new{rng.integers(99)}"]
+            lines.append(w)
+    df = spark.createDataFrame([(0, i, 0, " ".join(w), i, i) for i, w in enumerate(lines)], "doc_id long, rid long, pos int, norm string, h1 long, h2 long")
+    codes = linededup.simhashes(df)
+    got = {r.h1: r for r in codes.collect()}
+    assert all(got[i].words == len(w) for i, w in enumerate(lines) if i in got) and len(got) > 25
+    pairs = codes.alias("a").crossJoin(codes.alias("b")).where("a.h1 < b.h1").where(linededup._close(64, 0.9))
+    kept = {(r[0], r[1]) for r in pairs.selectExpr("a.h1", "b.h1").collect()}
+    similar = {(i, j) for i in got for j in got if i < j and word_edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) * 0.1 + 1e-9}
+    assert len(similar) > 10 and similar <= kept and len(kept) < len(got) * (len(got) - 1) / 4
+
+
 def test_packing_round_trip(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
