@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from vertexloom.llm import ann, chat, decontaminate, jaccard, licenses, linededup, packing, pii, toxicity, urlfilter
 from vertexloom.llm.shared import components
 
@@ -102,7 +104,13 @@ def test_line_bounds_lose_no_similar_pair(spark):
     codes = linededup.simhashes(df)
     got = {r.h1: r for r in codes.collect()}
     assert all(got[i].words == len(w) for i, w in enumerate(lines) if i in got) and len(got) > 25
-    pairs = codes.alias("a").crossJoin(codes.alias("b")).where("a.h1 < b.h1").where(linededup._close(64, 0.9))
+    texts = linededup.spelled(df, df.selectExpr("h1 AS a", "h1 AS b"))
+    codes = codes.join(linededup.wide_parity(texts), "h1")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    pairs = codes.alias("a").crossJoin(codes.alias("b")).where("a.h1 < b.h1").where(linededup._close(a, b, 64, 0.9))
+    narrow = pairs.count()
+    pairs = pairs.where(linededup._close_in_words(a, b, 0.9))
+    assert pairs.count() < narrow
     kept = {(r[0], r[1]) for r in pairs.selectExpr("a.h1", "b.h1").collect()}
     similar = {(i, j) for i in got for j in got if i < j and word_edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) * 0.1 + 1e-9}
     assert len(similar) > 10 and similar <= kept and len(kept) < len(got) * (len(got) - 1) / 4
