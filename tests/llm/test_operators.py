@@ -116,6 +116,28 @@ def test_line_bounds_lose_no_similar_pair(spark):
     assert len(similar) > 10 and similar <= kept and len(kept) < len(got) * (len(got) - 1) / 4
 
 
+def test_similar_lines_are_brute_force(spark):
+    rng = np.random.default_rng(5)
+    lines = [["left", "right"] * 10, ["left", "right"] * 9 + ["left", "none"]]
+    for size in (10, 15, 19, 25, 39, 60, 100):
+        for _ in range(3):
+            base = [f"word{rng.integers(300)}" for _ in range(size)]
+            for n_edits in (0, 1, size // 10, size // 10, size // 10 + 1):
+                w = list(base)
+                for k in sorted(rng.choice(size, n_edits, replace=False).tolist(), reverse=True):
+                    kind = rng.integers(3)
+                    w[k : k + (kind > 0)] = [] if kind == 2 else [f"new{rng.integers(99)}"]
+                if len(w) >= 10:
+                    lines.append(w)
+    lines = [t.split() for t in dict.fromkeys(" ".join(w) for w in lines)]
+    df = spark.createDataFrame([(0, i, 0, " ".join(w), i, i) for i, w in enumerate(lines)], "doc_id long, rid long, pos int, norm string, h1 long, h2 long")
+    links = linededup.similar_lines(df, linededup.simhashes(df), 0.9)
+    got = {r.node: r.component for r in components(spark, links).collect()}
+    similar = {(i, j) for j in range(len(lines)) for i in range(j) if word_edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) * 0.1 + 1e-9}
+    assert len(similar) > 60 and all(got.get(i, -1) == got.get(j, -2) for i, j in similar)
+    assert {(min(r), max(r)) for r in links.collect()} <= similar
+
+
 def test_packing_round_trip(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
