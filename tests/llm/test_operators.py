@@ -68,6 +68,11 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(docs(spark, texts).where("false")).count() == 0
 
 
+def test_short_lines_are_deduplicated_exactly(spark):
+    got = linededup.dedup_lines(docs(spark, ["Two words\nThree more words", "two  words!\nthree other words\nA b c d", "a B c d\n\n\nalone\nalone"])).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["Two words\nThree more words", "three other words\nA b c d", "\n\nalone\nalone"]
+
+
 def test_simhash_is_brute_force(spark):
     lines = ["alpha beta gamma delta", "alpha beta gamma omega of to", "one only three four five six seven"]
     df = spark.createDataFrame([(0, i, 0, t, i, i) for i, t in enumerate(lines)], "doc_id long, rid long, pos int, norm string, h1 long, h2 long")
