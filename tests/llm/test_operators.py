@@ -73,6 +73,39 @@ def test_short_lines_are_deduplicated_exactly(spark):
     assert [r.text for r in got] == ["Two words\nThree more words", "three other words\nA b c d", "\n\nalone\nalone"]
 
 
+def test_every_class_of_lines_is_compared(spark):
+    rng = np.random.default_rng(7)
+    long = " ".join(f"word{k}" for k in rng.integers(0, 5000, 17000))
+    pairs = [
+        ("seven words are compared by characters here", "seven words are compared by charakters here"),
+        ("nine words with one gone are ten words less", "nine words with one gone are ten words less one"),
+        (" ".join("a bc d ef".split() * 5), " ".join("a bc d ef".split() * 4 + "a bc d no".split())),
+        (long, long.replace("word7 ", "new ")),
+    ]
+    got = linededup.dedup_lines(docs(spark, [t for p in pairs for t in p] + ["five words unlike the rest"])).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [0, 1] * len(pairs) + [0]
+
+
+def test_short_lines_are_brute_force(spark):
+    rng = np.random.default_rng(9)
+    lines = []
+    for _ in range(25):
+        base = " ".join("".join(rng.choice(list("abcdeist"), rng.integers(2, 9))) for _ in range(rng.integers(5, 10)))
+        for n_edits in (0, 1, len(base) // 10, len(base) // 10 + 1):
+            w = list(base)
+            for k in sorted(rng.choice(np.flatnonzero([c != " " for c in w]), n_edits, replace=False).tolist(), reverse=True):
+                kind = rng.integers(3)
+                w[k : k + (kind > 0)] = [] if kind == 2 else ["x"]
+            lines.append(" ".join("".join(w).split()))
+    lines = [t for t in dict.fromkeys(lines) if 5 <= len(t.split()) <= 10]
+    df = spark.createDataFrame([(0, i, 0, t, i, i) for i, t in enumerate(lines)], "doc_id long, rid long, pos int, norm string, h1 long, h2 long")
+    units = linededup.compared(df, 5).where("by_chars")
+    links = linededup.similar_lines(units, linededup.simhashes(units), 0.9)
+    got = {~r.node: r.component for r in components(spark, links).collect()}
+    similar = {(i, j) for j in range(len(lines)) for i in range(j) if word_edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) * 0.1 + 1e-9}
+    assert len(similar) > 40 and all(got.get(i, -1) == got.get(j, -2) for i, j in similar)
+
+
 def test_simhash_is_brute_force(spark):
     lines = ["alpha beta gamma delta", "alpha beta gamma omega of to", "one only three four five six seven"]
     df = spark.createDataFrame([(0, i, 0, t, i, i) for i, t in enumerate(lines)], "doc_id long, rid long, pos int, norm string, h1 long, h2 long")
@@ -123,7 +156,7 @@ def test_line_bounds_lose_no_similar_pair(spark):
 
 def test_similar_lines_are_brute_force(spark):
     rng = np.random.default_rng(5)
-    lines = [["left", "right"] * 10, ["left", "right"] * 9 + ["left", "none"]]
+    lines = [["left", "right"] * 10, ["left", "right"] * 9 + ["left", "none"], ["x", "y"] * 10, ["x", "y"] * 9 + ["x", "z"]]
     for size in (10, 15, 19, 25, 39, 60, 100):
         for _ in range(3):
             base = [f"word{rng.integers(300)}" for _ in range(size)]
