@@ -150,3 +150,25 @@ def test_packing(spark):
     r = P.rectangular(df, center=(0, 0), max_width=6, max_height=6).groupBy("layout_id").avg("x", "y").toPandas().iloc[:, 1:].to_numpy()
     gap = np.abs(r[:, None] - r[None]).max(2) + 9 * np.eye(7)
     assert gap.min() >= 2 - 1e-2
+
+
+def test_circles_follow_one_rule_at_every_size():
+    radii = np.r_[50.0, np.random.default_rng(4).choice([0.5, 0.7, 1.0], 400), np.linspace(0.8, 1.2, 60)]
+    p, order = K.pack_circles(radii), np.argsort(-radii, kind="stable")
+    d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+    assert (d + np.eye(len(radii)) * 999 >= radii[:, None] + radii[None] - 1e-6).all()
+    # Brute force: the next circle takes the nearest free spot of all pairs.
+    for k in (5, 150, 250, 330, 460):
+        c, placed = radii[order[k]], order[:k]
+        q, r, best = p[placed], radii[placed] + radii[order[k]], np.inf
+        for i in range(k):
+            delta = q - q[i]
+            far = np.hypot(*delta.T)
+            js = np.flatnonzero((far < r[i] + r) & (far > 1e-12))
+            for j in js:
+                along = (r[i] ** 2 - r[j] ** 2 + far[j] ** 2) / (2 * far[j])
+                high, e = np.sqrt(max(r[i] ** 2 - along**2, 0)), delta[j] / far[j]
+                for s in (q[i] + e * along + np.array([-e[1], e[0]]) * high, q[i] + e * along - np.array([-e[1], e[0]]) * high):
+                    if np.hypot(*s) < best and (np.hypot(*(q - s).T) >= r - 1e-9).all():
+                        best = np.hypot(*s)
+        assert abs(np.hypot(*p[order[k]]) - best) < 1e-6

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -441,34 +443,59 @@ def _aligned(rows, a, y, down: bool, flip: bool) -> dict[int, float]:
 
 
 def pack_circles(radii: np.ndarray) -> np.ndarray:
-    """Centres of touching circles, larger first: each goes tangent to two of the front, as near the middle as it fits (Wang et al. 2006)."""
-    out = np.zeros((len(radii), 2))
-    order = np.argsort(-radii, kind="stable")
-    for k, c in enumerate(order):
-        if k == 0:
-            continue
-        if k == 1:
-            out[c] = (-(radii[order[0]] + radii[c]), 0)
-            continue
-        placed = order[:k]
-        p, r = out[placed], radii[placed] + radii[c]
-        recent = np.arange(max(0, k - 3 * int(np.sqrt(k)) - 12), k) if k > 200 else np.arange(k)
-        i, j = recent[:, None].repeat(len(recent), 1)[np.triu_indices(len(recent), 1)], recent[None].repeat(len(recent), 0)[np.triu_indices(len(recent), 1)]
+    """Centres of touching circles, larger first: each goes tangent to two placed ones, to the free spot nearest the middle (after Wang et al. 2006)."""
+    n, order = len(radii), np.argsort(-radii, kind="stable")
+    r, p = radii[order].astype(float), np.zeros((n, 2))
+    if n > 1:
+        p[1] = (-(r[0] + r[1]), 0)
+    # Pairs between which a circle fits; circles only get smaller, so none comes back. What blocks a spot beside j is in near[j].
+    near: list[list[int]] = [[] for _ in range(n)]
+    pairs, spots, size = np.zeros((0, 2), int), [], None
+
+    def add(ij: np.ndarray, c: float) -> None:
+        i, j = ij.T
         delta = p[j] - p[i]
         d = np.hypot(*delta.T)
-        ok = (d < r[i] + r[j]) & (d > 1e-12)
+        ok = (d < r[i] + r[j] + 2 * c) & (d > 1e-12)
         i, j, delta, d = i[ok], j[ok], delta[ok], d[ok]
-        along = (r[i] ** 2 - r[j] ** 2 + d**2) / (2 * d)
-        high = np.sqrt(np.maximum(r[i] ** 2 - along**2, 0))
+        along = ((r[i] + c) ** 2 - (r[j] + c) ** 2 + d**2) / (2 * d)
+        high = np.sqrt(np.maximum((r[i] + c) ** 2 - along**2, 0))
         e = delta / d[:, None]
-        side = np.c_[-e[:, 1], e[:, 0]] * high[:, None]
-        spots = np.concatenate([p[i] + e * along[:, None] + side, p[i] + e * along[:, None] - side])
-        for s in spots[np.argsort(np.round(np.hypot(*spots.T), 9), kind="stable")]:
-            if (np.hypot(*(p - s).T) >= r - 1e-9).all():
-                out[c] = s
-                break
-        else:
-            out[c] = (np.max(p[:, 0] + radii[placed]) + radii[c], 0)
+        foot, side = p[i] + e * along[:, None], np.c_[-e[:, 1], e[:, 0]] * high[:, None]
+        for sign, at in ((0, foot + side), (1, foot - side)):
+            spots.extend(zip(np.round(np.hypot(*at.T), 9).tolist(), [sign] * len(i), i.tolist(), j.tolist(), at[:, 0].tolist(), at[:, 1].tolist()))
+
+    for k in range(1, n):
+        if k > 1:
+            c = r[k]
+            if c != size:
+                gap = np.hypot(*(p[pairs[:, 0]] - p[pairs[:, 1]]).T) - r[pairs].sum(1)
+                pairs, spots, size = pairs[gap < 2 * c], [], c
+                add(pairs, c)
+                heapq.heapify(spots)
+            while spots:
+                *_, j, x, y = heapq.heappop(spots)
+                b = near[j] + [j]
+                if (np.hypot(p[b, 0] - x, p[b, 1] - y) >= r[b] + c - 1e-9).all():
+                    p[k] = x, y
+                    break
+            else:
+                p[k] = np.max(p[:k, 0] + r[:k]) + c, 0
+        c = r[min(k + 1, n - 1)]
+        new = np.flatnonzero(np.hypot(*(p[:k] - p[k]).T) < r[:k] + r[k] + 2 * c)
+        near[k] = new.tolist()
+        for j in near[k]:
+            near[j].append(k)
+        new = np.c_[new, np.full(len(new), k)]
+        pairs = np.concatenate([pairs, new])
+        if c == size:
+            before, spots = spots, []
+            add(new, c)
+            for s in spots:
+                heapq.heappush(before, s)
+            spots = before
+    out = np.zeros((n, 2))
+    out[order] = p
     return out
 
 
