@@ -84,6 +84,20 @@ def test_lgl_star():
         np.testing.assert_allclose(np.hypot(*p[1:].T), n + 1)
 
 
+def test_lgl_forces():
+    # Two vertices in a cell by the wide grid: the edge pulls with d^3 / k, the cell pushes with k^2 (1 / d - d^2 / (pi n^3)).
+    path = np.array([[0, 1], [1, 2]])
+    still, moved = (K.lgl(3, path, np.ones(2), None, max_iter=m) for m in (0, 1))
+    assert np.hypot(*(moved - still).T).max() > 0 and np.hypot(*(moved[1] - still[1])) > 0  # placed vertices of earlier layers move too
+    # A star's vertices are one cell apart or more: only attraction acts, and the ring closes on the root.
+    star = np.array([[0, i] for i in range(1, 5)])
+    at, later = (K.lgl(5, star, np.ones(4), None, max_iter=m) for m in (0, 1000))
+    vetted = np.abs(np.floor((at[1:] + 5) / 3) - np.floor((at[:1] + 5) / 3)).sum(1) <= 1
+    assert np.isfinite(later).all() and (np.hypot(*(later[1:] - later[0]).T)[vetted] < np.hypot(*at[1:].T)[vetted]).all()
+    i, j = K._in_cells(np.array([[0, 0], [1, 0], [0, 0], [0, 0], [1, 0]]))
+    assert {frozenset(x) for x in zip(i.tolist(), j.tolist())} == {frozenset(x) for x in ((0, 2), (0, 3), (2, 3), (1, 4))} and len(i) == 4
+
+
 @pytest.mark.parametrize("edges, want", [
     ([(0, 1), (1, 2)], [[0, 0], [0, 1], [0, 2]]),
     ([(0, 1), (0, 2)], [[0.5, 0], [0, 1], [1, 1]]),

@@ -177,8 +177,23 @@ def gem(n, edges, weights, initial, max_iter=None, seed=0):
     return p
 
 
-def lgl(n, edges, weights, initial, root=0, seed=0, max_iter=30):
-    """Layers of a breadth-first tree around the root (Adai et al. 2004), each relaxed by repulsion within grid cells."""
+def _in_cells(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of the same cell."""
+    order = np.lexsort(cell.T)
+    own = np.r_[0, np.cumsum((np.diff(cell[order], axis=0) != 0).any(1))]
+    i, a, b = np.arange(len(own)), [], []
+    for k in range(1, len(own)):
+        i = i[i + k < len(own)]
+        i = i[own[i + k] == own[i]]
+        if not len(i):
+            break
+        a.append(order[i])
+        b.append(order[i + k])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def lgl(n, edges, weights, initial, root=0, seed=0, max_iter=1000, etol=1e-6):
+    """Layers of a breadth-first tree around the root (Adai et al. 2004). After each layer all placed vertices are relaxed: those of a grid cell repel, edges to children in the same or a neighbouring cell attract."""
     rng = np.random.default_rng(seed)
     near: list[list[int]] = [[] for _ in range(n)]
     for i, j in edges:
@@ -188,7 +203,7 @@ def lgl(n, edges, weights, initial, root=0, seed=0, max_iter=30):
     while layers[-1]:
         layers.append([w for v in layers[-1] for w in sorted(set(near[v])) if w not in parent and parent.setdefault(w, v) is not None])
     layers.pop()
-    p = np.zeros((n, 2))
+    p, pull_k = np.zeros((n, 2)), np.sqrt(np.pi * n)
     scale = n / max(sum(1 / k for k in range(1, len(layers) - 1)), 1.0) if len(layers) > 2 else float(n)
     unit = lambda x: x / max(np.hypot(*x), 1e-12)
     done = [root]
@@ -200,14 +215,28 @@ def lgl(n, edges, weights, initial, root=0, seed=0, max_iter=30):
             base = p[v] + (unit(p[v] - mid) if k > 1 else 0.0)
             p[kids] = base + scale / k * np.c_[np.cos(t), np.sin(t)]
         done += layer
+        wide = np.ceil(np.sqrt(n))
+        up, all_ = np.array([parent[w] for w in layer]), np.array(done)
+        vetted = np.abs(np.floor((p[layer] + n) / wide) - np.floor((p[up] + n) / wide)).sum(1) <= 1
+        up, down = up[vetted], np.array(layer)[vetted]
         for it in range(max_iter):
-            cell = np.floor(p[layer] / np.ceil(np.sqrt(n))).astype(int)
-            move = np.zeros((len(layer), 2))
-            for c in np.unique(cell, axis=0):
-                own = np.flatnonzero((cell == c).all(1))
-                delta, d = _apart(p[np.array(layer)[own]])
-                move[own] += (delta / np.maximum(d, 0.1)[..., None] ** 2).sum(1)
-            p[layer] += np.clip(move, -1, 1) * ((max_iter - it) / max_iter) ** 1.5
+            force = np.zeros((n, 2))
+            delta = p[down] - p[up]
+            pull = delta * ((delta**2).sum(1) / pull_k)[:, None]
+            np.add.at(force, up, pull)
+            np.add.at(force, down, -pull)
+            i, j = _in_cells(np.floor((p[all_] + n) / wide))
+            i, j = all_[i], all_[j]
+            delta = p[i] - p[j]
+            d = np.maximum(np.hypot(*delta.T), etol)
+            push = delta * (pull_k**2 * (1 / d - d**2 / (np.pi * n**3)) / d)[:, None]
+            np.add.at(force, i, push)
+            np.add.at(force, j, -push)
+            size, most = np.hypot(*force.T), (1 + etol) * ((max_iter - it) / max_iter) ** 1.5
+            force *= np.where(size > most, most / np.maximum(size, 1e-300), 1.0)[:, None]
+            p += force
+            if np.abs(force).max() <= etol:
+                break
     rest = [v for v in range(n) if v not in parent]
     p[rest] = rng.uniform(-n, n, (len(rest), 2))
     return p
