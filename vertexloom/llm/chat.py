@@ -123,7 +123,7 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     refs = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).join(calls.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"])
     refs = stored(refs)
     todo, level = refs.select("conv_id", "call_id").distinct(), 0
-    while not todo.isEmpty() and level < 1000:  # calls that wait for one found at the level before
+    while not todo.isEmpty():  # calls that wait for one found at the level before; they get fewer or repeat, so this ends
         level += 1
         depth = stored(depth.join(todo.withColumn("up", F.lit(level)), ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("up", "depth").alias("depth")))
         next_ = stored(refs.join(todo.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]).select("conv_id", "call_id").distinct())
