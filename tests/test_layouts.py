@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -69,6 +70,11 @@ def test_forces_keep_fixed_and_finite():
         assert (K.gem(4, ring, np.ones(4), START, max_iter=steps) == START).all(1).sum() == still
 
 
+def test_default_work_is_the_references():
+    for f, steps in ((K.forceatlas2, 1000), (K.gem, 1000), (K.kamada_kawai, 15000), (K.umap, 100), (K.lgl, 1000)):
+        assert inspect.signature(f).parameters["max_iter"].default == steps
+
+
 def test_stress_layouts():
     p = K.neato(4, PATH, np.ones(3), np.array([[0.0, 0], [1, 0], [2, 1], [3, -3]]))
     np.testing.assert_allclose(np.hypot(*(p[1:] - p[:-1]).T), 1, atol=1e-2)

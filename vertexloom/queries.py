@@ -275,11 +275,11 @@ def kernel(name: str, f, source=src.trade, **options) -> None:
     query(name)(run)
 
 
-kernel("force_arf", K.arf, max_iter=100)
+kernel("force_arf", K.arf, max_iter=1000)
 kernel("force_spring", K.spring)
 kernel("force_spring_energy", K.spring_energy)
 kernel("force_fa2", K.forceatlas2)
-kernel("force_gem", K.gem, src.chats, max_iter=200)
+kernel("force_gem", K.gem, src.chats)
 kernel("force_lgl", K.lgl, src.tree)
 kernel("force_geometric", lambda n, e, w, p: K.geometric(n, e[e[:, 1] == e[:, 0] + 1], np.ones(int((e[:, 1] == e[:, 0] + 1).sum())), p), src.chats)
 kernel("layout_kamada_kawai", K.kamada_kawai)
@@ -340,7 +340,7 @@ def _(spark, d):
     w = k.join(M.sigmas(k), "source").select("source", "target", M.probability(F.col("distance"), F.col("sigma"), F.col("rho")).alias("weight"))
     e = M.symmetrise(w).select(F.col("source").alias("src"), F.col("target").alias("dst"), F.col("weight").alias("w"))
     g = Graph.of(src.table(spark, d, "embeddings").select(F.col("vec_id").alias("v")), e)
-    return by_v(g.lay_out(lambda n, e, w, p: K.umap(n, e, w, p, max_iter=20)), g)
+    return by_v(g.lay_out(lambda n, e, w, p: K.umap(n, e, w, p)), g)
 
 
 @query("umap_jacobi_epoch")
