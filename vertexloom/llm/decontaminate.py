@@ -104,27 +104,28 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int = 8) -> Dat
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
-    """One row for each document row: n_words, n_hit (words inside any match), n_items, items_sha256, contaminated.
+    """One row for each document row: n_words, n_hit (words inside any match), n_items, items_sha256, contaminated, holds_window.
 
-    A document is contaminated if at least one in share of its words is hit.
+    A document is contaminated if at least one in share of its words is hit; holds_window says whether a match is of size words.
     """
     m = stored(phrase_matches(docs, items, size))
     spans = m.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("at"))
     hit = spans.distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
+    whole = m.groupBy(F.col("doc_id").alias("w")).agg(F.max(F.col("m") >= size).alias("holds_window"))
     ids = m.select("doc_id", F.col("item_id").cast("string").alias("i")).distinct().groupBy("doc_id").agg(
         F.count("i").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("i")), ","), 256).alias("items_sha256"))
-    per = hit.withColumnRenamed("doc_id", "d").join(ids.withColumnRenamed("doc_id", "e"), F.expr("d <=> e")).drop("e")
+    per = hit.withColumnRenamed("doc_id", "d").join(ids.withColumnRenamed("doc_id", "e"), F.expr("d <=> e")).drop("e").join(whole, F.expr("d <=> w")).drop("w")
     base = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(f"[^{SEPARATORS}]+")), F.lit(0)).cast("long").alias("n_words"))
     out = base.join(per, F.expr("doc_id <=> d"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("holds_window", F.lit(False)).alias("holds_window"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("holds_window")
 
 
 OP1_SQL = r"""

@@ -1,22 +1,26 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
-A document is the set of its distinct word 5-grams, held as 64-bit hashes.
-Documents of equal sets are one class from the start. Two sets that reach the
-similarity share a token among each one's first n - ceil(t * n) + 1 tokens
-under *any* global order. The first order puts hashes ascending and very
-frequent 5-grams last, and is joined through posting lists, of which only those
-with two classes or more are kept; how many prefix tokens a pair shares bounds
-its overlap. The pairs must share prefix tokens under two
-further orders as well; those left are verified on the whole sets.
+A document is the set of its distinct word 5-grams, held as 64-bit tokens: 6 bits
+for how long the words are, long ones first, then 58 bits of a hash. Documents of
+equal sets are one class from the start. Two sets that reach the similarity share
+a token among each one's first n - ceil(t * n) + 1 tokens under *any* global
+order. The first order is that of the tokens, with those of many documents last,
+by rising frequency; it is joined through posting lists, of which only those with
+two classes or more are kept. Sizes, places in the prefixes and the number of
+prefix tokens a pair shares bound its overlap. The pairs left must share prefix
+tokens under two further orders as well, before any whole set moves; those that
+do are verified on the whole sets.
 
 Groups of copies are not expanded into pairs: in every posting list, classes
-are first tried against one hub and united; only pairs between classes still
-apart are then made. So each link is found or already implied by others.
+are first tried against one hub, the one that has fewest tokens of its own, and
+united, a few times over; only pairs between classes still apart are then made.
+So each link is found or already implied by others.
 
 Defined results: a null text, or one without words, has an empty set and no
-links; rows with a null doc_id take the component of their class; repeated
-rows come out as often as they come in; other columns are ignored. Hashes of 64
-bits stand for 5-grams, and two such sums (128 bits) for a whole set.
+links; rows with a null doc_id take the component of their class, which is null
+if no row of it has an id; repeated rows come out as often as they come in;
+other columns are ignored. Hashes of 58 bits stand for 5-grams, and two sums of
+such tokens (128 bits) for a whole set.
 """
 
 from __future__ import annotations
@@ -29,11 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.shared import components, sized, stored, table
+from vertexloom.llm.shared import bitmap, components, dropped, maybe_in, sized, stored, table
 
 GRAM = 5
-#: A 5-gram is frequent if it makes up this share of all; at most 1 / share of them can be.
-FREQUENT = 2.0**-20
+#: A 5-gram is frequent if it makes up this share of all, and is in FEW documents at least; 1 / share of them can be, which take 72 MB.
+FREQUENT = 2.0**-23
+FEW = 16
+#: Bits of a token that hold the hash.
+HASHED = np.uint64(58)
 CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,6 +60,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def ranked(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Tokens of shingles with these hashes and so many bytes of words."""
+    return ((63 - np.minimum(size, 63)).astype(np.uint64) << HASHED) | (h >> (np.uint64(64) - HASHED))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, CHUNK), b)])) for b in (BASE, BASE_INVERSE)]
@@ -60,7 +72,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: pa.Array, gram: int = GRAM) -> Iterator[np.ndarray]:
-    """For each text its distinct shingles' hashes, ascending. Works on the bytes of many texts at once, a few MB at a time."""
+    """For each text its distinct shingles' tokens, ascending. Works on the bytes of many texts at once, a few MB at a time."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     if not len(texts):
         return
@@ -86,7 +98,8 @@ def shingle_sets(texts: pa.Array, gram: int = GRAM) -> Iterator[np.ndarray]:
         full = h[: max(0, len(h) - gram + 1)]
         for k in range(1, gram):
             full = full * STEP + h[k : k + len(full)]
-        full = mix(full)
+        size = np.concatenate([[0], np.cumsum(end - start)])
+        full = ranked(mix(full), size[gram:] - size[: len(full)]) if len(full) else full
         for a, z in zip(of[:-1], of[1:]):
             if z - a >= gram:
                 yield np.unique(full[a : z - gram + 1])
@@ -94,7 +107,7 @@ def shingle_sets(texts: pa.Array, gram: int = GRAM) -> Iterator[np.ndarray]:
                 acc = np.uint64(z - a) + h[a : a + 1]
                 for k in range(a + 1, z):
                     acc = acc * STEP + h[k : k + 1]
-                yield mix(acc)
+                yield ranked(mix(acc), size[z : z + 1] - size[a])
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -114,26 +127,27 @@ def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """(doc_id, s1, s2, n) of every document; and, with n null, (token as s1, count as s2) of what is frequent within a task."""
+    """(doc_id, key, s1, s2, n) of every document, key being a hash of the row; and, with n null, (token as s1, count as s2) of what is frequent within a task."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        schema = [("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64())]
-        seen, size, waiting = {}, 0, 0
+        schema = [("doc_id", pa.int64()), ("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64())]
+        seen, size, waiting = set(), 0, 0
 
         def often() -> list[tuple]:
             if not held:
                 return []
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             ok = counts >= max(2, int(size * FREQUENT))
-            return [(None, t, c, None) for t, c in zip(tokens[ok].view(np.int64).tolist(), counts[ok].tolist())]
+            return [(None, None, t, c, None) for t, c in zip(tokens[ok].view(np.int64).tolist(), counts[ok].tolist())]
 
         for batch in batches:
             out = []
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
+            for doc_id, key, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1))):
                 s1, s2 = signature(s)
-                out.append((doc_id, s1, s2, len(s)))
-                if seen.setdefault(s1, doc_id) == doc_id:
+                out.append((doc_id, key, s1, s2, len(s)))
+                if s1 not in seen:
+                    seen.add(s1)
                     held.append(s)
                     size += len(s)
                     waiting += len(s)
@@ -143,36 +157,34 @@ def survey(docs: DataFrame) -> DataFrame:
                 held, size, waiting = [], 0, 0
         yield _batch(often(), schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look, "doc_id long, s1 long, s2 long, n long")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text")).mapInArrow(look, "doc_id long, key long, s1 long, s2 long, n long")
 
 
 def postings(docs: DataFrame, frequent, num: int, den: int) -> DataFrame:
-    """(token, sig, n): the first order's prefix of every distinct set."""
+    """(token, sig, n, i): the first order's prefix of every distinct set, i being the place there."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, place = frequent.value
+        hot, times = frequent.value
         seen: set[int] = set()
         for batch in batches:
-            tokens, sigs, sizes = [], [], []
+            tokens, sigs, sizes, places = [], [], [], []
             for s in shingle_sets(batch.column(0)):
                 sig = signature(s)[0]
                 if not len(s) or sig in seen:
                     continue
                 seen.add(sig)
-                order = s >> np.uint64(1)
+                p = prefix(len(s), num, den)
                 if len(hot):
                     k = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    is_hot = hot[k] == s
-                    order = np.where(is_hot, place[k] | np.uint64(1 << 63), order)
-                p = prefix(len(s), num, den)
-                mine = s[np.argpartition(order, p - 1)[:p]] if p < len(s) else s
-                tokens.append(mine.view(np.int64))
-                sigs.append(np.full(len(mine), sig))
-                sizes.append(np.full(len(mine), len(s), np.int32))
+                    s = s[np.argsort(np.where(hot[k] == s, times[k], 0), kind="stable")]
+                tokens.append(s[:p].view(np.int64))
+                sigs.append(np.full(p, sig))
+                sizes.append(np.full(p, len(s), np.int32))
+                places.append(np.arange(p, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sigs, sizes)], ["token", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sigs, sizes, places)], ["token", "sig", "n", "i"])
 
-    return docs.select("text").mapInArrow(emit, "token long, sig long, n int")
+    return docs.select("text").mapInArrow(emit, "token long, sig long, n int, i int")
 
 
 def shared(lists: DataFrame) -> DataFrame:
@@ -181,52 +193,64 @@ def shared(lists: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, False  # the last row, and whether the row before it had its token
         for batch in batches:
-            t, g, n = (c.to_numpy() for c in batch.columns)
+            cols = [c.to_numpy() for c in batch.columns]
             if last is not None:
-                t, g, n = np.concatenate([last[0], t]), np.concatenate([last[1], g]), np.concatenate([last[2], n])
+                cols = [np.concatenate(x) for x in zip(last, cols)]
+            t, g = cols[:2]
             if not len(t):
                 continue
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-            t, g, n = t[new], g[new], n[new]
-            same = t[1:] == t[:-1]
+            cols = [x[new] for x in cols]
+            same = cols[0][1:] == cols[0][:-1]
             prev, next_ = np.concatenate([[held], same]), np.concatenate([same, [False]])
             ok = (prev | next_)[:-1]
-            last, held = (t[-1:], g[-1:], n[-1:]), bool(prev[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][ok]) for x in (t, g, n)], ["token", "sig", "n"])
+            last, held = [x[-1:] for x in cols], bool(prev[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][ok]) for x in cols], names)
         if last is not None and held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["token", "sig", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names)
+
+    names = lists.columns
+    return lists.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(keep, lists.schema)
+
+
+def fetched(docs: DataFrame, classes: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, s, o1, o2): the sets of sigs(sig), made anew from the texts, and their prefixes under the further orders, 32 bits a token."""
+    reps = classes.join(sigs, classes.s1 == F.col("sig"), "left_semi").select(F.col("rep").alias("r")).distinct()
+    reps = stored(reps.select("r", F.xxhash64("r").alias("h")))
+    some = maybe_in(docs.withColumn("h", F.xxhash64("doc_id")), "h", bitmap(reps.select("h"), reps.count()), "some").where("some")
+    texts = some.join(reps.select("r"), F.expr("doc_id <=> r"), "left_semi").select("text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for s in shingle_sets(batch.column(0)):
+                p = prefix(len(s), num, den)
+                firsts = [(np.partition(s * odd, p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist() if len(s) else [] for odd in ORDERS]
+                rows.append((signature(s)[0], s.tobytes(), *firsts))
+                if len(rows) == 256:
+                    yield _batch(rows, schema)
+                    rows = []
+            yield _batch(rows, schema)
 
-    return lists.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(keep, "token long, sig long, n int")
+    schema = [("sig", pa.int64()), ("s", pa.binary()), ("o1", pa.list_(pa.int32())), ("o2", pa.list_(pa.int32()))]
+    every = texts.mapInArrow(sets, "sig long, s binary, o1 array<int>, o2 array<int>").join(sigs, "sig", "left_semi")
+    return stored(every.dropDuplicates(["sig"]))
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) that pass the other orders' prefix filters and then reach num / den.
 
-    Sets are made anew from the texts and move once, to their partner b; a b with many partners is dealt over several keys, each with its set.
+    A set moves once, to its partner b; a b with many partners is dealt over several keys, each with its set.
     """
+    sigs = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+    sets = fetched(docs, classes, sigs, num, den)
+    side = lambda c: sets.select(F.col("sig").alias(c), F.col("o1").alias(f"{c}1"), F.col("o2").alias(f"{c}2"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2"))
+    pairs = stored(both.select("a", "b"))
     hubs = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("k")))
     member = pairs.join(hubs, "b").select(F.col("a").alias("sig"), F.col("b").alias("h"), F.pmod(F.xxhash64("a"), "k").cast("int").alias("salt"), F.lit(1).alias("kind"))
     hub = hubs.select(F.col("b").alias("sig"), F.col("b").alias("h"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("kind"))
-    want = stored(member.union(hub))
-    n = want.count()
-    reps = classes.join(sized(want.select("sig").distinct(), n, 500_000), classes.s1 == F.col("sig"), "left_semi").select(F.col("rep").alias("r"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(signature(s)[0], s.tobytes()) for s in shingle_sets(batch.column(0))]
-            for k in range(0, len(rows), 256):
-                yield _batch(rows[k : k + 256], [("sig", pa.int64()), ("s", pa.binary())])
-
-    def alike(x: np.ndarray, y: np.ndarray) -> bool:
-        if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-            return False
-        for odd in ORDERS:
-            p, q = (np.partition(z * odd, k - 1)[:k] for z in (x, y) for k in [prefix(len(z), num, den)])
-            if not len(np.intersect1d(p, q, assume_unique=True)):
-                return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return den * both >= num * (len(x) + len(y) - both)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = held = None
@@ -236,71 +260,96 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, de
                 s = np.frombuffer(s.as_buffer(), np.uint64)
                 if kind == 0:
                     key, held = (h, salt), s.copy()
-                elif key == (h, salt) and alike(s, held):
-                    out.append((sig, h))
+                elif key == (h, salt) and den * min(len(s), len(held)) >= num * max(len(s), len(held)):
+                    both = len(np.intersect1d(s, held, assume_unique=True))
+                    if den * both >= num * (len(s) + len(held) - both):
+                        out.append((sig, h))
             yield _batch(out, [("a", pa.int64()), ("b", pa.int64())])
 
-    texts = docs.join(sized(reps, n, 500_000), docs.doc_id == F.col("r"), "left_semi").select("text")
-    rows = texts.mapInArrow(sets, "sig long, s binary").join(sized(want, n, 500_000), "sig").select("sig", "h", "salt", "kind", "s")
-    return rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "kind", "sig").mapInArrow(test, "a long, b long")
+    rows = sets.select("sig", "s").join(member.union(hub), "sig").select("sig", "h", "salt", "kind", "s")
+    found = stored(rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "kind", "sig").mapInArrow(test, "a long, b long"))
+    dropped(sigs, sets, pairs, hubs)
+    return found
+
 
+def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_rounds: int = 3) -> DataFrame:
+    """(doc_id, n_shingles, component_id, key, first_key) for every row of docs; links at Jaccard >= num / den.
 
-def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_rounds: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs; links at Jaccard >= num / den."""
+    key is xxhash64(doc_id, text), first_key that of the component's first row by doc_id, nulls last, null for an empty set.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     seen = stored(survey(docs))
     each = seen.where("n IS NOT NULL")
     total = each.agg(F.sum("n")).first()[0] or 0
-    often = seen.where("n IS NULL").groupBy("s1").agg(F.sum("s2").alias("m")).where(F.col("m") >= max(2, total * FREQUENT)).orderBy("m", "s1").toPandas()
+    often = seen.where("n IS NULL").groupBy("s1").agg(F.sum("s2").alias("m")).where(F.col("m") >= max(FEW, total * FREQUENT)).orderBy("s1").toPandas()
     tokens = often["s1"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(tokens)
-    frequent = spark.sparkContext.broadcast((tokens[by], by.astype(np.uint64)))
-    classes = stored(each.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    frequent = spark.sparkContext.broadcast((tokens[by], np.log2(np.maximum(often["m"].to_numpy(float), 1)).astype(np.uint8)[by]))
+    classes = stored(each.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
     lists = stored(shared(postings(docs, frequent, num, den)))
-    links = tried = None
+    # A class whose prefix is shared most is the likeliest middle of a group of copies.
+    own = lists.groupBy(F.col("sig").alias("s")).agg((F.first("n") - F.ceil(F.first("n") * num / den) + 1 - F.count("*")).cast("int").alias("u"))
+    before, lists = lists, stored(lists.join(own, F.col("sig") == F.col("s")).drop("s").withColumn("g", F.col("sig")))
+    dropped(before)
     # Shared tokens that end the shorter reach are all among the m of both prefixes; the rest is at most one set's remainder.
     rest_of = lambda n: F.ceil(n * num / den) - 1
 
-    def reach(m, x, y):
-        most = m + F.greatest(rest_of(x), rest_of(y))
+    def enough(most, x, y):
         return den * most >= num * (x + y - most)
 
-    for nth in range(hub_rounds + 1):
-        if links is None:
-            of = lists.withColumn("g", F.col("sig"))
-        else:
-            group = stored(components(spark, links))
-            of = lists.join(sized(group, group.count()), lists.sig == group.node, "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("g"))
-        open_ = of.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min(F.struct("g", "sig", "n")).alias("hub")).where("lo <> hi")
-        near = (den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n"))
+    def reach(m, x, y):
+        return enough(m + F.greatest(rest_of(x), rest_of(y)), x, y)
+
+    def fits(x, y):
+        """Whether a token at its places in both prefixes allows for the similarity."""
+        before, after = F.least(x("i"), y("i")), F.least(x("n") - x("i"), y("n") - y("i"))
+        return enough(before + after, x("n"), y("n"))
+
+    tried = links = group = None
+    nth = 0
+    while nth <= hub_rounds:
         if nth < hub_rounds:
-            star = of.alias("b").join(open_.select("token", F.col("hub.sig").alias("h"), F.col("hub.g").alias("hg"), F.col("hub.n").alias("hn")), "token").where("g <> hg")
+            hubs = lists.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min(F.struct("u", "sig", "n", "i", "g")).alias("hub")).where("lo <> hi")
+            star = lists.join(hubs, "token").where((F.col("g") != F.col("hub.g")) & fits(F.col, lambda c: F.col("hub")[c]))
+            star = star.select("sig", F.col("hub.sig").alias("h"), "n", F.col("hub.n").alias("hn"))
             # Here m misses tokens with another hub: what this leaves out is found when the rest is paired.
             star = star.groupBy("sig", "h", "n", "hn").agg(F.count("*").alias("m")).where(reach(F.col("m"), F.col("n"), F.col("hn")))
-            pairs = star.groupBy("sig").agg(F.max_by("h", F.struct("m", "h")).alias("b")).select(F.col("sig").alias("a"), "b")
+            pairs = star if tried is None else star.join(tried.select(F.col("a").alias("sig"), F.col("b").alias("h")), ["sig", "h"], "left_anti")
+            pairs = pairs.groupBy("sig").agg(F.max_by("h", F.struct("m", "h")).alias("b")).select(F.col("sig").alias("a"), "b")
         else:
-            rest = stored(of.join(open_.select("token"), "token"))
-            pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.g") != F.col("b.g")) & near)
-            pairs = pairs.groupBy(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(F.count("*").alias("m"))
-            pairs = pairs.where(reach(F.col("m"), F.col("x"), F.col("y")))
-        pairs = pairs.select("a", "b")
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = stored(verified(docs, classes, pairs, num, den))
+            a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+            pairs = lists.alias("a").join(lists.alias("b"), (a("token") == b("token")) & (a("sig") < b("sig")) & (a("g") != b("g")) & fits(a, b))
+            pairs = pairs.groupBy(a("sig").alias("a"), b("sig").alias("b"), a("n").alias("x"), b("n").alias("y")).agg(F.count("*").alias("m"))
+            pairs = pairs.where(reach(F.col("m"), F.col("x"), F.col("y"))).select("a", "b")
+            pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        if pairs.isEmpty():  # no hub is left to try, or nothing at all
+            nth = hub_rounds if nth < hub_rounds else nth + 1
+            continue
+        nth += 1
+        found = verified(docs, classes, pairs, num, den)
         both = pairs.union(pairs.select("b", "a"))
         tried = both if tried is None else tried.union(both)
         links = found if links is None else links.union(found)
-    group = stored(components(spark, links))
+        group = stored(components(spark, links))
+        if nth <= hub_rounds:
+            now = lists.drop("g").join(sized(group, group.count()), F.col("sig") == F.col("node"), "left").withColumn("g", F.coalesce("component", "sig")).drop("node", "component")
+            open_ = now.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
+            before, lists = lists, stored(now.join(open_, "token", "left_semi"))
+            dropped(before)
+    dropped(lists)
+    group = group if group is not None else spark.createDataFrame([], "node long, component long")
     n = group.count()
-    named = classes.join(sized(group, n), classes.s1 == group.node, "left").select("s1", "s2", "rep", F.coalesce("component", "s1").alias("g"))
-    least = named.groupBy("g").agg(F.min("rep").alias("component_id"))
-    out = named.join(least, "g").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "component_id")
+    named = classes.join(sized(group, n), classes.s1 == group.node, "left").select("s1", "s2", "first", F.coalesce("component", "s1").alias("g"))
+    least = named.groupBy("g").agg(F.min("first").alias("least"))
+    out = named.join(least, "g").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key"))
     out = each.join(out, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", "first_key")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP8_SQL = r"""
