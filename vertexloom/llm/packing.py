@@ -16,6 +16,7 @@ packed each; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import base64
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 from zlib import crc32
@@ -33,14 +34,18 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(vocabulary: str):
-    """The vocabulary's byte-level BPE. tiktoken gives the ids that tokenizers gives (tests hold them equal) in a quarter of the time."""
+    """A function from text to ids. tiktoken gives the ids that tokenizers gives, special tokens in the text included (tests hold them equal), in a quarter of the time."""
     if vocabulary not in _encoders:
         import public_tokenizers as P
         import tiktoken
 
         with open(P.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(P.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in special.values()}, special_tokens=special)
+        names = list(special)
+        _encoders[vocabulary] = lambda text: own.encode(text, allowed_special="all") if any(s in text for s in names) else own.encode_ordinary(text)
     return _encoders[vocabulary]
 
 
@@ -49,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bp
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId()
+        encode, shard = encoder(vocabulary), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
