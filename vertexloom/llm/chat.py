@@ -10,16 +10,20 @@ each message is serialised as canonical JSON: keys sorted, no spaces.
 Rows stay one a message or call: sorting a conversation by (anchor_turn, depth,
 turn, item) gives its order, so no task ever gathers a whole conversation.
 
-Defined results: null or unreadable text is an ordinary message with that text;
-of several calls with one id the first by (turn, item) is linked, the others
-are "duplicate"; a result without call is "orphan", a call without result
-"open"; calls in a circle of references have the status "circular"; a null
-conv_id links nothing. Other columns are ignored.
+Defined results: null or unreadable text is an ordinary message with that text,
+and so is JSON that holds NaN or an infinity, or nests too deeply to be worked
+on; lone surrogates are written as escapes; of several calls with one id the
+first by (turn, item) is linked, the others are "duplicate"; a result without
+call is "orphan", a call without result "open"; calls in a circle of
+references, or on the way from one circle to another, have the status
+"circular", those that merely wait for one don't; a null conv_id links nothing.
+Repeated rows are turns each, of which the calls are duplicates. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,8 +40,20 @@ SCHEMAS = {
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """text with lone surrogates, which no column can hold, as JSON escapes."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return escaped(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+
+def no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
 
 
 def problems(value, schema: dict, at: str = "$") -> list[str]:
@@ -73,13 +89,17 @@ def read_turn(role: str | None, text: str | None, schemas: dict) -> list[tuple]:
     if not text or text.lstrip()[:1] != "{":
         return plain
     try:
-        got = json.loads(text)
+        return read_json(role, json.loads(text, parse_constant=no_number), schemas) or plain
     except (ValueError, RecursionError):
         return plain
+
+
+def read_json(role: str | None, got: dict, schemas: dict) -> list[tuple]:
+    """What a turn that is a JSON object holds; nothing if it is neither calls nor a result."""
     if role == "tool" and isinstance(got.get("tool_call_id"), str):
-        return [("result", got["tool_call_id"], [], None, canonical({"content": got.get("content"), "role": role, "tool_call_id": got["tool_call_id"]}))]
+        return [("result", escaped(got["tool_call_id"]), [], None, canonical({"content": got.get("content"), "role": role, "tool_call_id": got["tool_call_id"]}))]
     if role != "assistant" or not isinstance(got.get("tool_calls"), list):
-        return plain
+        return []
     out = [("message", None, [], None, canonical({"content": got["content"], "role": role}))] if got.get("content") is not None else []
     for call in got["tool_calls"]:
         if not isinstance(call, dict):
@@ -88,14 +108,15 @@ def read_turn(role: str | None, text: str | None, schemas: dict) -> list[tuple]:
         args, error = call.get("arguments"), None
         if isinstance(args, str):
             try:
-                args = json.loads(args)
+                args = json.loads(args, parse_constant=no_number)
             except (ValueError, RecursionError):
                 error = "arguments: not JSON"
         if not error:
-            error = "; ".join(problems(args, schemas[call["name"]])) or None if call.get("name") in schemas else "unknown tool"
-        call_id = call.get("id") if isinstance(call.get("id"), str) else None
-        out.append(("call", call_id, references(args), error, canonical({"arguments": args, "id": call.get("id"), "name": call.get("name"), "role": role})))
-    return out or plain
+            known = isinstance(call.get("name"), str) and call["name"] in schemas
+            error = escaped("; ".join(problems(args, schemas[call["name"]]))) or None if known else "unknown tool"
+        call_id = escaped(call["id"]) if isinstance(call.get("id"), str) else None
+        out.append(("call", call_id, [escaped(r) for r in references(args)], error, canonical({"arguments": args, "id": call.get("id"), "name": call.get("name"), "role": role})))
+    return out
 
 
 def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
@@ -127,7 +148,12 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
         level += 1
         depth = stored(depth.join(todo.withColumn("up", F.lit(level)), ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("up", "depth").alias("depth")))
         next_ = stored(refs.join(todo.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]).select("conv_id", "call_id").distinct())
-        if next_.count() == todo.count() and next_.exceptAll(todo).isEmpty():  # what is left waits for itself
+        if next_.count() == todo.count() and next_.exceptAll(todo).isEmpty():  # what is left is in a circle or waits for one
+            inner, n = next_, -1
+            while n != (n := inner.count()):  # calls that no other of these refers to go
+                used = refs.join(inner, ["conv_id", "call_id"]).select("conv_id", F.col("ref").alias("call_id")).distinct()
+                inner = stored(inner.join(used, ["conv_id", "call_id"], "left_semi"))
+            next_ = inner
             depth = stored(depth.join(next_.withColumn("loop", F.lit(-1)), ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("loop", "depth").alias("depth")))
             break
         todo = next_
