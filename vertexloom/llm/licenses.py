@@ -141,8 +141,11 @@ class Scanner:
         return [(d, n, a, b - a, c) for d, n, a, b, c in sorted(out)]
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.75, sure: float = 0.9999) -> DataFrame:
-    """(doc_id, license, word, n_words, containment): every place of a text that holds a template."""
+def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.75, sure: float = 0.9999, summary: bool = False) -> DataFrame:
+    """(doc_id, license, word, n_words, containment): every place of a text that holds a template.
+
+    With summary, a row for each row of docs: (doc_id, n_matches, licenses, first_word), the licenses comma-joined.
+    """
     own = templates if templates is not None else TEMPLATES
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -150,6 +153,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
         scanner = Scanner(own, containment, sure)
         for batch in batches:
             owner, rows = [], []
+            each: list[list] = [[] for _ in range(batch.num_rows)]
             texts, first, size = [], 0, 0
             for k, text in enumerate(batch.column(1)):
                 texts.append(text.as_py() or "")
@@ -158,18 +162,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
                     for d, *row in scanner.scan(texts):
                         owner.append(first + d)
                         rows.append(row)
+                        each[first + d].append(row)
                     texts, first, size = [], k + 1, 0
+            if summary:
+                cols = [len(x) for x in each], [",".join(sorted({r[0] for r in x})) for x in each], [min((r[1] for r in x), default=None) for x in each]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64())))], ["doc_id", "n_matches", "licenses", "first_word"])
+                continue
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64())))],
                 ["doc_id", "license", "word", "n_words", "containment"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, word long, n_words long, containment double")
+    what = "n_matches long, licenses string, first_word long" if summary else "license string, word long, n_words long, containment double"
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {what}")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: how many license passages it holds, which licenses, and where the first is."""
-    docs = table(spark, sf_dir, "documents")
-    found = scan_licenses(docs).groupBy("doc_id").agg(
-        F.count("*").alias("n_matches"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.min("word").alias("first_word"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"), F.coalesce("licenses", F.lit("")).alias("licenses"), "first_word")
+    return scan_licenses(table(spark, sf_dir, "documents"), summary=True)
