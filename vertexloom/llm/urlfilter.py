@@ -6,15 +6,18 @@ URLs aliases of one another; a block by rule on any alias of a connected
 component blocks those aliases that no rule judges. An alias that a rule allows
 stays allowed. URLs that neither a rule nor a component judges are allowed.
 
-Defined results: a null url, or one without "://", has an empty host and path
-and fits no rule; null html has no links; of two rules of equal length the
+Relative links are resolved against their page's URL by RFC 3986; as aliases,
+URLs are compared without fragment, with scheme and host in lower case.
+
+Defined results: a null url, or one without "://", has an empty host and path,
+fits no rule and has no links; null html has no links; of two rules of equal length the
 allowing one wins; repeated rows come out as often as they come in; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm.shared import ascii_lower, components, sized, stored, table
@@ -22,6 +25,8 @@ from vertexloom.llm.shared import ascii_lower, components, sized, stored, table
 #: The rules of the registered query: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: Character references that a link may hold; the ampersand's come last.
+REFERENCES = [("&quot;|&#34;|&#x22;", '"'), ("&apos;|&#39;|&#x27;", "'"), ("&lt;|&#60;|&#x3c;", "<"), ("&gt;|&#62;|&#x3e;", ">"), ("&#47;|&#x2f;|&sol;", "/"), ("&#58;|&#x3a;|&colon;", ":"), ("&amp;|&#38;|&#x26;", "&")]
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
@@ -43,12 +48,44 @@ def by_rules(urls: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
     return fit.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.ruled")
 
 
+def bare(c: Column) -> Column:
+    """A URL as a node: without fragment, scheme and host in lower case."""
+    c = F.regexp_replace(c, "(?s)#.*", "")
+    site = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
+    return F.concat(ascii_lower(site), F.substring(c, F.length(site) + 1, F.length(c)))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its segments "." and "..", as RFC 3986 takes them out."""
+    parts_, none = F.split(path, "/"), F.array().cast("array<string>")
+    step = lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.array_append(acc, s))
+    # The segment before the first slash is empty; a dot at the end leaves a slash there.
+    kept = F.aggregate(F.slice(parts_, 2, F.size(parts_)), none, step)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.element_at(parts_, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The reference ``to`` on a page whose URL is base, by RFC 3986; null if it is but a fragment."""
+    scheme = F.regexp_extract(base, r"^[^:/?#]+:", 0)
+    site = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    own, rest = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^.*/", 0))
+    return (
+        F.when(to.startswith("#") | (to == ""), F.lit(None).cast("string")).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), to)
+        .when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat(site, without_dots(own), rest))
+        .when(to.startswith("?"), F.concat(site, path, to)).otherwise(F.concat(site, without_dots(F.concat(folder, own)), rest)))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(url, to): canonical links and redirects, relative ones resolved against the site's root."""
-    found = F.array_compact(F.array(*[F.nullif(F.regexp_extract(F.coalesce("html", F.lit("")), p, 1), F.lit("")) for p in (CANONICAL, REFRESH)]))
-    out = pages.where("url IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')").select("url", F.explode(found).alias("to"))
-    root = F.regexp_extract("url", r"^[^:]*://[^/?#]*", 0)
-    return out.withColumn("to", F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.regexp_extract("url", r"^[^:]*:", 0), "to")).otherwise(F.concat(root, F.when(F.col("to").startswith("/"), "").otherwise("/"), "to")))
+    """(url, to): all canonical links and redirects, character references decoded, relative ones resolved against the page."""
+    html = F.coalesce("html", F.lit(""))
+    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in (CANONICAL, REFRESH)])
+    out = pages.where("url LIKE '%://%' AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')").select("url", F.explode(found).alias("to"))
+    to = F.col("to")
+    for name, char in REFERENCES:
+        to = F.regexp_replace(to, f"(?i){name}", char)
+    return out.withColumn("to", resolved(F.col("url"), to)).where("to IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
@@ -59,12 +96,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     edges = stored(edges if redirects is None else edges.unionByName(redirects.select("url", "to").where("url IS NOT NULL AND to IS NOT NULL")))
     all_urls = pages.select("url").union(edges.select("url")).union(edges.select("to"))
     ruled = stored(by_rules(parts(all_urls, "url"), table_, len(rules)))
-    bare = lambda c: F.regexp_replace(F.col(c), "#.*", "")
-    group = stored(components(spark, edges.select(bare("url").alias("a"), bare("to").alias("b"))))
+    group = stored(components(spark, edges.select(bare(F.col("url")).alias("a"), bare(F.col("to")).alias("b"))))
     n = group.count()
     blocked = parts(group, "node").join(ruled.where("ruled = 'block'"), ["host", "path"]).select("component").distinct()
     bad = group.join(blocked, "component", "left_semi").select(F.col("node").alias("alias"))
-    out = parts(pages.select("page_id", "url"), "url").join(ruled, ["host", "path"], "left").withColumn("bare", bare("url"))
+    out = parts(pages.select("page_id", "url"), "url").join(ruled, ["host", "path"], "left").withColumn("bare", bare(F.col("url")))
     out = out.join(sized(bad, n), F.col("bare") == F.col("alias"), "left")
     verdict = F.coalesce("ruled", F.when(F.col("alias").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "url", "host", "path", "rule", verdict.alias("verdict"))
