@@ -50,7 +50,6 @@ THRICE = re.compile(r"(.)\1\1")
 RUN = re.compile(r"(.)\1+")
 #: Costs of the channel, in nats.
 SUBSTITUTE, DROP_REPEAT, DROP_SEPARATOR, DROP_OTHER, WILD = 0.5, 0.7, 0.2, 6.0, 3.0
-BEAM = 48
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -84,34 +83,88 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def arcs(ch: str, before: str) -> list[tuple[str, float]]:
+    """What ch may stand for after the character before, each with its cost; nothing is "". """
+    out: dict[str, float] = {ch: 0.0} if ch in INDEX and ch != "\0" else {}
+    for c in STANDS_FOR.get(ch, ""):
+        out.setdefault(c, SUBSTITUTE)
+    if ch == before:
+        out[""] = DROP_REPEAT
+    if ch in SEPARATORS:
+        out[""] = DROP_SEPARATOR
+        if ch == "*":
+            out |= dict.fromkeys("abcdefghijklmnopqrstuvwxyz", WILD)
+    return list(out.items()) or [("", DROP_OTHER)]
+
+
 def restore(token: str, lm: np.ndarray) -> str:
-    """The likeliest word that token disguises: Viterbi over (last two letters), the best BEAM states kept at each character."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest word that token disguises: Viterbi over the states (last two letters), none left out.
+
+    Tokens whose characters have few arcs go through a dictionary of the states that occur, others through arrays of all states.
+    """
+    if len(token) > 64 or "*" in token:
+        return restore_by_arrays(token, lm)
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     before = ""
     for ch in token:
-        arcs: list[tuple[str, float]] = []
-        if ch in INDEX and ch != "\0":
-            arcs.append((ch, 0.0))
-        arcs += [(c, SUBSTITUTE) for c in STANDS_FOR.get(ch, "")]
-        if ch == before:
-            arcs.append(("", DROP_REPEAT))
-        if ch in SEPARATORS:
-            arcs.append(("", DROP_SEPARATOR))
-            if ch == "*":
-                arcs += [(c, WILD) for c in "abcdefghijklmnopqrstuvwxyz"]
-        if not arcs:
-            arcs.append(("", DROP_OTHER))
-        before = ch
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in states.items():
-            for c, cost in arcs:
-                k = INDEX[c] if c else 0
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for c, cost in arcs(ch, before):
+            k = INDEX[c] if c else 0
+            for (a, b), (score, path) in states.items():
                 key = (b, k) if c else (a, b)
                 s = score - cost + (float(lm[a, b, k]) if c else 0.0)
                 if key not in new or s > new[key][0]:
-                    new[key] = (s, word + c)
-        states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM]) if len(new) > BEAM else new
-    return max((s + float(lm[a, b, 0]), w) for (a, b), (s, w) in states.items())[1]
+                    new[key] = (s, (path, c) if c else path)
+        states, before = new, ch
+    path = max(((s + float(lm[a, b, 0]), a, b, path) for (a, b), (s, path) in states.items()), key=lambda x: x[:3])[3]
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
+
+
+#: Characters whose back pointers are held at once; those of earlier ones are worked out again, from the states kept at each BLOCK.
+BLOCK = 1024
+
+
+def restore_by_arrays(token: str, lm: np.ndarray) -> str:
+    """restore() with the scores of all states in an array, for tokens of any length and many arcs."""
+
+    def step(scores: np.ndarray, at: int) -> tuple[np.ndarray, list[int], np.ndarray]:
+        own = arcs(token[at], token[at - 1] if at else "")
+        letters, costs = [INDEX[c] for c, _ in own if c], np.array([x for c, x in own if c])
+        drop = [x for c, x in own if not c]
+        new = scores - drop[0] if drop else np.full((SIZE, SIZE), -np.inf)
+        back = np.full((SIZE, len(letters)), 255, np.uint8)  # 255: dropped
+        if letters:
+            each = scores[:, :, None] + lm[:, :, letters] - costs
+            best = each.max(0)
+            better = best > new[:, letters]
+            back[better] = each.argmax(0)[better]
+            new[:, letters] = np.where(better, best, new[:, letters])
+        return new, letters, back
+
+    scores = np.full((SIZE, SIZE), -np.inf)
+    scores[0, 0] = 0.0
+    kept = []
+    for at in range(len(token)):
+        if at % BLOCK == 0:
+            kept.append(scores)
+        scores = step(scores, at)[0]
+    last = scores + lm[:, :, 0]
+    a, b = np.unravel_index(int(last.argmax()), last.shape)
+    out = []
+    for nth in range(len(kept) - 1, -1, -1):
+        scores, backs = kept[nth], []
+        for at in range(nth * BLOCK, min(len(token), (nth + 1) * BLOCK)):
+            scores, letters, back = step(scores, at)
+            backs.append((letters, back))
+        for letters, back in reversed(backs):
+            if b in letters and (came := back[a, letters.index(b)]) != 255:
+                out.append(ALPHABET[b])
+                a, b = int(came), a
+    return "".join(reversed(out))
 
 
 def disguised(token: str) -> bool:
@@ -198,7 +251,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, lm, sample: int, least: int = 8) -> tuple[dict[str, float], list[float]]:
     """The lexicon from one half of the labelled sample and the logistic model from the other."""
-    rows = labelled(docs, labels, sample)
+    rows = labelled(docs.select("doc_id", "text"), labels, sample)
     # A beginning counts once a document, as a word does.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
