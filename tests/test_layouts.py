@@ -57,6 +57,7 @@ def test_random_without_overlaps(spark):
 def test_arf_golden():
     want = [[-0.00120306794437, -0.000308640753373], [1.00048578644, -0.00141421356237], [0.999414213562, 1.00131421356], [2.00110306794, 1.00030864075]]
     np.testing.assert_allclose(K.arf(4, PATH, np.ones(3), START, max_iter=1), want, atol=1e-11)
+    # Those that the layout must have.
     want = [[-0.255030938115, 0.0583515167927], [1.24808329414, -0.574807096034], [0.649176834172, 1.46806023749], [2.12309612965, 0.950474896978]]
     np.testing.assert_allclose(K.arf(4, PATH, np.ones(3), START, max_iter=1000), want, atol=1e-11)
 
@@ -104,6 +105,7 @@ def test_lgl_forces():
     assert {frozenset(x) for x in zip(i.tolist(), j.tolist())} == {frozenset(x) for x in ((0, 2), (0, 3), (2, 3), (1, 4))} and len(i) == 4
 
 
+# The drawings that these graphs must have.
 @pytest.mark.parametrize("edges, want", [
     ([(0, 1), (1, 2)], [[0, 0], [0, 1], [0, 2]]),
     ([(0, 1), (0, 2)], [[0.5, 0], [0, 1], [1, 1]]),

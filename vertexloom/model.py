@@ -48,9 +48,15 @@ class Graph:
         back = self.edges.where("src <> dst").select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
         return self.edges.unionByName(back)
 
-    def lay_out(self, kernel: Callable[[int, np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], initial: DataFrame | None = None) -> DataFrame:
-        """Runs kernel(n, edges, weights, initial) on every graph in a task of its own; for graphs of a few thousand vertices."""
+    def lay_out(self, kernel: Callable[..., np.ndarray], initial: DataFrame | None = None, fixed: DataFrame | None = None) -> DataFrame:
+        """Runs kernel(n, edges, weights, initial) on every graph in a task of its own; for graphs of a few thousand vertices.
+
+        With fixed(graph_id, pos) the kernel also gets their positions, as ``fixed``.
+        """
         vs = self.vertices.select("graph_id", "pos")
+        held = fixed is not None
+        if held:
+            vs = vs.join(fixed.select("graph_id", "pos").distinct().withColumn("fixed", F.lit(True)), ["graph_id", "pos"], "left")
         started = initial is not None
         if started:
             vs = vs.join(initial.select("graph_id", "pos", "x", "y"), ["graph_id", "pos"], "left")
@@ -64,7 +70,8 @@ class Graph:
                     raise KeyError("a vertex has no initial coordinates")
             if not len(v):
                 return pd.DataFrame({"graph_id": [], "pos": [], "x": [], "y": []})
-            xy = kernel(len(v), e[["src", "dst"]].to_numpy(int), e["w"].to_numpy(float), start)
+            more = {"fixed": np.flatnonzero(v["fixed"].notna())} if held else {}
+            xy = kernel(len(v), e[["src", "dst"]].to_numpy(int), e["w"].to_numpy(float), start, **more)
             return pd.DataFrame({"graph_id": key[0], "pos": v["pos"].to_numpy(), "x": xy[:, 0], "y": xy[:, 1]})
 
         return vs.groupBy("graph_id").cogroup(self.own_edges().groupBy("g")).applyInPandas(run, LAYOUT)

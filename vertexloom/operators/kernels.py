@@ -20,8 +20,8 @@ def dense(n: int, edges: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return a
 
 
-def hops(n: int, edges: np.ndarray) -> np.ndarray:
-    """Unweighted distances; pairs out of reach get the greatest finite one."""
+def hops(n: int, edges: np.ndarray, fill: bool = True) -> np.ndarray:
+    """Unweighted distances; pairs out of reach get the greatest finite one, or stay infinite."""
     a = dense(n, edges, np.ones(len(edges))) > 0
     d = np.where(np.eye(n, dtype=bool), 0.0, np.inf)
     front, step = np.eye(n, dtype=bool), 0
@@ -29,7 +29,8 @@ def hops(n: int, edges: np.ndarray) -> np.ndarray:
         step += 1
         front = (front.astype(np.float32) @ a.astype(np.float32) > 0) & np.isinf(d)
         d[front] = step
-    d[np.isinf(d)] = d[np.isfinite(d)].max(initial=0.0)
+    if fill:
+        d[np.isinf(d)] = d[np.isfinite(d)].max(initial=0.0)
     return d
 
 
@@ -139,9 +140,14 @@ def smacof(target, weight, p, max_iter=50, atol=1e-6, rtol=1e-4):
 
 
 def kamada_kawai(n, edges, weights, initial, radius=1.0, max_iter=15000):
+    return by_stress(hops(n, edges), initial, radius, max_iter)
+
+
+def by_stress(d: np.ndarray, initial, radius: float, max_iter: int) -> np.ndarray:
+    """Positions whose distances are nearest to d, the farther apart the less; the farthest coordinate is radius from the mean."""
+    n = len(d)
     if n == 1:
         return np.zeros((1, 2))
-    d = hops(n, edges)
     t = 2 * np.pi * np.arange(n) / n
     p = np.array(initial, float) if initial is not None else np.sqrt(n) / 2 * np.c_[np.cos(t), np.sin(t)]
     p = smacof(d, np.where(d > 0, 1 / np.maximum(d, 1e-9) ** 2, 0.0), p, max_iter, 1e-10, 1e-9)
@@ -243,7 +249,7 @@ def lgl(n, edges, weights, initial, root=0, seed=0, max_iter=1000, etol=1e-6):
 
 
 def geometric(n, edges, lengths, initial, tol=1e-7, seed=0, max_iter=20000):
-    """Positions with given edge lengths: each edge is in turn put to its length, from a spring layout."""
+    """Positions with given edge lengths: each edge is in turn put to its length, from a spring layout. RuntimeError if max_iter rounds don't bring all within tol."""
     p = spring(n, edges, np.ones(len(edges)), initial, seed=seed) * (np.mean(lengths) if len(lengths) else 1.0)
     for _ in range(max_iter):
         worst = 0.0
@@ -256,19 +262,21 @@ def geometric(n, edges, lengths, initial, tol=1e-7, seed=0, max_iter=20000):
             p[i] += delta * (d - want) / d / 2
             p[j] -= delta * (d - want) / d / 2
         if worst < tol:
-            break
-    return p - p.mean(0)
+            return p - p.mean(0)
+    raise RuntimeError(f"after {max_iter} rounds an edge is still {worst:g} off its length")
 
 
 def mds(n, edges, weights, initial, check_connected=False):
     """Classical scaling (Torgerson 1952); each axis' largest component is positive."""
     if n == 1:
         return np.zeros((1, 2))
-    if check_connected:
-        reach = np.linalg.matrix_power(np.minimum(dense(n, edges, np.ones(len(edges))), 1) + np.eye(n), max(1, n - 1)) > 0
-        if not reach.all():
-            raise ValueError("the graph is not connected")
-    d = hops(n, edges)
+    if check_connected and np.isinf(hops(n, edges, fill=False)).any():
+        raise ValueError("the graph is not connected")
+    return classical_scaling(hops(n, edges))
+
+
+def classical_scaling(d: np.ndarray) -> np.ndarray:
+    n = len(d)
     c = np.eye(n) - 1 / n
     values, vectors = np.linalg.eigh(-0.5 * c @ (d**2) @ c)
     top = np.argsort(-np.abs(values), kind="stable")[:2]
@@ -292,25 +300,6 @@ def find_ab(spread=1.0, min_dist=0.1):
     return a, b
 
 
-def sigma_rho(d: np.ndarray, bandwidth=1.0, max_iter=64) -> tuple[float, float]:
-    """Of one source's ascending distances: rho the least positive one, sigma by bisection (McInnes et al. 2018)."""
-    positive = d[d > 0]
-    rho, target = (positive.min() if len(positive) else 0.0), np.log2(len(d)) * bandwidth
-    lo, hi, mid = 0.0, np.inf, 1.0
-    for _ in range(max_iter):
-        x = d[1:] - rho
-        total = np.where(x > 0, np.exp(-np.maximum(x, 0) / mid), 1.0).sum()
-        if abs(total - target) < 1e-5:
-            break
-        if total > target:
-            hi = mid
-            mid = (lo + hi) / 2
-        else:
-            lo = mid
-            mid = mid * 2 if np.isinf(hi) else (lo + hi) / 2
-    return max(mid, 1e-3 * d.mean()), rho
-
-
 def umap(n, edges, weights, initial, min_dist=0.1, spread=1.0, negative_rate=None, max_iter=100, seed=0, fixed=()):
     """Stochastic gradient descent on symmetric weights; an edge fires whenever its own clock, of period 1 / weight, is due."""
     a, b = find_ab(spread, min_dist)
@@ -385,29 +374,47 @@ def layers_of(n: int, edges: np.ndarray) -> np.ndarray:
     return layer
 
 
-def sugiyama(n, edges, weights, initial, theta=0.0, shift=(0.0, 0.0), max_crossing=100, hgap=1.0):
-    """Layered drawing: layers, barycentre sweeps, four alignments to neighbours' medians, components side by side."""
+def with_ghosts(n: int, edges: np.ndarray, layer: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], list[int]]]:
+    """The graph with a ghost vertex on each layer that an edge passes over: layers of all vertices, edges between next layers, and each long edge's ghosts from its source on."""
+    layers, short, chains = layer.tolist(), [], {}
+    for i, j in dict.fromkeys(map(tuple, edges.tolist())):
+        gap = layer[j] - layer[i]
+        if gap == 0:
+            continue
+        way = [i, *range(len(layers), len(layers) + abs(gap) - 1), j]
+        layers += range(layer[i] + np.sign(gap), layer[j], np.sign(gap))
+        short += zip(way, way[1:])
+        if len(way) > 2:
+            chains[i, j] = way[1:-1]
+    return np.array(layers, int), np.array(short, int).reshape(-1, 2), chains
+
+
+def sugiyama(n, edges, weights, initial, theta=0.0, shift=(0.0, 0.0), max_crossing=100, hgap=1.0, waypoints=False):
+    """Layered drawing: layers, ghosts on long edges, barycentre sweeps, four alignments to neighbours' medians, components side by side.
+
+    With waypoints also a dictionary from each edge over two layers or more to the places of its ghosts, from its source on.
+    """
     if n == 1:
-        return np.zeros((1, 2))
-    y = layers_of(n, edges)
-    a = [set() for _ in range(n)]
-    for i, j in edges:
-        if i != j and abs(y[i] - y[j]) == 1:
-            a[i].add(int(j))
-            a[j].add(int(i))
-    link = [set() for _ in range(n)]
-    for i, j in edges:
+        return (np.zeros((1, 2)), {}) if waypoints else np.zeros((1, 2))
+    y, short, chains = with_ghosts(n, edges, layers_of(n, edges))
+    total = len(y)
+    a: list[set[int]] = [set() for _ in range(total)]
+    for i, j in short:
+        a[i].add(int(j))
+        a[j].add(int(i))
+    link = [set(x) for x in a]
+    for i, j in edges:  # those within a layer too
         link[i].add(int(j))
         link[j].add(int(i))
-    comp = np.full(n, -1)
-    for v in range(n):
+    comp = np.full(total, -1)
+    for v in range(total):
         todo = [v] if comp[v] < 0 else []
         while todo:
             w = todo.pop()
             if comp[w] < 0:
                 comp[w] = v
                 todo += link[w]
-    x, left = np.zeros(n), 0.0
+    x, left = np.zeros(total), 0.0
     for c in np.unique(comp):
         own = np.flatnonzero(comp == c).tolist()
         rows = [[v for v in own if y[v] == k] for k in range(y[own].max() + 1)]
@@ -436,9 +443,9 @@ def sugiyama(n, edges, weights, initial, theta=0.0, shift=(0.0, 0.0), max_crossi
             x[v] = (four[1] + four[2]) / 2
         x[own] += left - (x[own].min() if left else 0.0)
         left = x[own].max() + hgap
-    xy = np.c_[x, y]
     c, s = np.cos(theta), np.sin(theta)
-    return np.c_[xy[:, 0] * c + xy[:, 1] * s, xy[:, 1] * c - xy[:, 0] * s] + np.asarray(shift)
+    xy = np.c_[x * c + y * s, y * c - x * s] + np.asarray(shift)
+    return (xy[:n], {e: xy[g] for e, g in chains.items()}) if waypoints else xy[:n]
 
 
 def _aligned(rows, a, y, down: bool, flip: bool) -> dict[int, float]:

@@ -7,31 +7,88 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.operators.kernels import sigma_rho
 
-
-def knn(vectors: DataFrame, k: int) -> DataFrame:
-    """(source, target, distance): exact Euclidean neighbours of vectors(v, e), ties by id. Every row is a query, so all pairs are compared."""
-    a = vectors.select(F.col("v").alias("source"), F.col("e").alias("p"))
-    b = vectors.select(F.col("v").alias("target"), F.col("e").alias("q"))
-    d = F.sqrt(F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(b, F.col("source") != F.col("target")).select("source", "target", d.alias("distance"))
+#: Vectors of a block.
+BLOCK = 2048
+
+
+def knn(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(source, target, distance): exact Euclidean neighbours of vectors(v, e), ties by id.
+
+    Every row is a query. Blocks of rows meet in tasks of bounded memory, as matrix products, and leave the k best of each row there.
+    """
+    rows = vectors.select(F.col("v").cast("long").alias("v"), F.col("e").cast("array<double>").alias("e"))
+    n = max(1, -(-rows.count() // block))
+    sides = [rows.withColumn(own, F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) for own, other in (("p", "q"), ("q", "p"))]
+
+    def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"source": [], "target": [], "distance": []})
+        a, b = (np.stack(x["e"].to_numpy()) for x in (left, right))
+        ids, own = right["v"].to_numpy(), left["v"].to_numpy()
+        rough = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)
+        rough[own[:, None] == ids] = np.inf
+        out = []
+        for i in range(len(a)):  # the exact distances of all that may be among the k best
+            bar = np.partition(rough[i], k - 1)[k - 1] if len(ids) > k else np.inf
+            near = np.flatnonzero((rough[i] <= bar + 1e-9 * (1 + abs(bar))) & np.isfinite(rough[i])) if np.isfinite(bar) else np.flatnonzero(np.isfinite(rough[i]))
+            d = np.sqrt(((a[i] - b[near]) ** 2).sum(1))
+            top = np.lexsort((ids[near], d))[:k]
+            out.append((np.full(len(top), own[i]), ids[near][top], d[top]))
+        return pd.DataFrame(dict(zip(("source", "target", "distance"), map(np.concatenate, zip(*out)))))
+
+    found = sides[0].groupBy("p", "q").cogroup(sides[1].groupBy("p", "q")).applyInPandas(best, "source long, target long, distance double")
     nth = F.row_number().over(Window.partitionBy("source").orderBy("distance", "target"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
 
 
-def probability(distance: Column, sigma: Column, rho: Column) -> Column:
-    return F.when((distance <= rho) | (sigma == 0), 1.0).otherwise(F.exp(-(distance - rho) / sigma))
+def edge_distances(edges: DataFrame, distances: DataFrame | dict | float | None = None) -> DataFrame:
+    """(source, target, distance) of edges(source, target): from a DataFrame with these columns, a dictionary of pairs, one number for all, or 1.0. TypeError for anything else; ValueError if an edge has none."""
+    pairs = edges.select("source", "target")
+    if distances is None or isinstance(distances, (int, float)):
+        return pairs.withColumn("distance", F.lit(1.0 if distances is None else float(distances)))
+    if isinstance(distances, dict):
+        distances = edges.sparkSession.createDataFrame([(int(i), int(j), float(d)) for (i, j), d in distances.items()], "source long, target long, distance double")
+    if not isinstance(distances, DataFrame):
+        raise TypeError("distances must be a DataFrame, a dictionary, a number or None")
+    out = pairs.join(distances.select("source", "target", F.col("distance").cast("double").alias("distance")), ["source", "target"], "left")
+    if not out.where("distance IS NULL").isEmpty():
+        raise ValueError("an edge has no distance")
+    return out
+
 
+def unweighted(edges: DataFrame) -> DataFrame:
+    """(source, target, weight) of edges(source, target): each pair once, source < target, weight 1."""
+    ends = edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"))
+    return ends.where("source < target").distinct().withColumn("weight", F.lit(1.0))
 
-def sigmas(edges: DataFrame) -> DataFrame:
-    """(source, sigma, rho) of edges(source, target, distance)."""
 
-    def run(key, e: pd.DataFrame) -> pd.DataFrame:
-        s, r = sigma_rho(np.sort(e["distance"].to_numpy(float)))
-        return pd.DataFrame({"source": [key[0]], "sigma": [s], "rho": [r]})
+def probability(distance: Column, sigma: Column, rho: Column) -> Column:
+    return F.when((distance <= rho) | (sigma == 0), 1.0).otherwise(F.exp(-(distance - rho) / sigma))
+
 
-    return edges.groupBy("source").applyInPandas(run, "source long, sigma double, rho double")
+def sigmas(edges: DataFrame, bandwidth: float = 1.0, rounds: int = 64) -> DataFrame:
+    """(source, sigma, rho) of edges(source, target, distance), as McInnes et al. (2018) define them.
+
+    rho is the least positive distance; sigma makes the memberships of all neighbours but the nearest add up to the
+    logarithm of their number, and is a thousandth of the mean distance at least. All sources are bisected at once.
+    """
+    each = edges.groupBy("source").agg(F.sort_array(F.collect_list(F.col("distance").cast("double"))).alias("d"))
+    each = each.withColumn("rho", F.coalesce(F.array_min(F.filter("d", lambda x: x > 0)), F.lit(0.0))).withColumn("want", F.log2(F.size("d")) * bandwidth)
+    over = F.transform(F.slice("d", 2, F.size("d")), lambda x: F.greatest(x - F.col("rho"), F.lit(0.0)))
+    each = each.withColumn("over", over)
+
+    def halve(state: Column, _: Column) -> Column:
+        total = F.aggregate("over", F.lit(0.0), lambda t, x: t + F.exp(-x / state["at"]))
+        more, less = total > F.col("want") + 1e-5, total < F.col("want") - 1e-5
+        lo, hi = F.when(less, state["at"]).otherwise(state["lo"]), F.when(more, state["at"]).otherwise(state["hi"])
+        to = F.when(more, (state["lo"] + state["at"]) / 2).when(less & state["hi"].isNull(), state["at"] * 2).when(less, (state["at"] + state["hi"]) / 2).otherwise(state["at"])
+        return F.struct(to.alias("at"), lo.alias("lo"), hi.alias("hi"))
+
+    first = F.struct(F.lit(1.0).alias("at"), F.lit(0.0).alias("lo"), F.lit(None).cast("double").alias("hi"))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, halve, lambda s: s["at"])
+    mean = F.aggregate("d", F.lit(0.0), lambda t, x: t + x) / F.size("d")
+    return each.select("source", F.greatest(at, 1e-3 * mean).alias("sigma"), "rho")
 
 
 def symmetrise(edges: DataFrame, operation: str = "union") -> DataFrame:

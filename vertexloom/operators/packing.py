@@ -27,7 +27,10 @@ def _moved(layouts: DataFrame, moves: DataFrame, center) -> DataFrame:
 
 
 def circular(layouts: DataFrame, padding: float | None = None, center=None) -> DataFrame:
-    """layouts(layout_id, id, x, y) -> (x, y, id, layout_id). Padding is 0.16 of the least positive squared radius unless given."""
+    """layouts(layout_id, id, x, y) -> (x, y, id, layout_id). Padding is 0.16 of the least positive squared radius unless given.
+
+    No layouts give an empty result; a layout without points has no rows, and the others keep their layout_id; a single one is only moved to the center.
+    """
 
     def solve(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("layout_id")
@@ -40,6 +43,8 @@ def circular(layouts: DataFrame, padding: float | None = None, center=None) -> D
 
 
 def rectangular(layouts: DataFrame, padding: float = 0.0, center=None, max_width=None, max_height=None) -> DataFrame:
+    """layouts(layout_id, id, x, y) -> (x, y, id, layout_id), in rows of boxes. Empty, single and pointless layouts as in circular()."""
+
     def solve(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("layout_id")
         w, h = b["width"].to_numpy(float) + padding / 2, b["height"].to_numpy(float) + padding / 2

@@ -83,6 +83,12 @@ def distances(g: Graph, weighted: bool = False) -> DataFrame:
     return best
 
 
+def distance_grid(g: Graph, distances: DataFrame) -> DataFrame:
+    """(graph_id, i, j, d) for every ordered pair of a graph's vertices: what distances(graph_id, i, j, d) gives, as it stands, and 0 for the rest."""
+    i, j = (g.vertices.select("graph_id", F.col("pos").alias(c)) for c in ("i", "j"))
+    return i.join(j, "graph_id").join(distances.select("graph_id", "i", "j", F.col("d").cast("double").alias("d")), ["graph_id", "i", "j"], "left").fillna({"d": 0.0})
+
+
 def bipartition(g: Graph) -> DataFrame:
     """(graph_id, pos, side) by parity of the distance from each component's first vertex; ValueError on an odd circle."""
     roots = components(g).select("graph_id", F.col("comp").alias("pos")).distinct()

@@ -16,6 +16,7 @@ from vertexloom.operators import manifold as M
 from vertexloom.operators import packing as P
 from vertexloom.operators import primitives as G
 from vertexloom.operators import shapes as S
+from vertexloom.operators import solvers as V
 from vertexloom.operators import stress as X
 from vertexloom.operators import trees as R
 from vertexloom.sources import graphs as src
@@ -225,7 +226,65 @@ def _(spark, d):
 
 @query("dag_sugiyama")
 def _(spark, d):
-    return by_graph(src.chats(spark, d).lay_out(K.sugiyama))
+    return by_graph(V.sugiyama(src.chats(spark, d))[0])
+
+
+@query("dag_waypoints")
+def _(spark, d):
+    """How many ghosts each long edge passes: its turns lie three layers apart in the chain."""
+    way = V.sugiyama(src.chats(spark, d))[1]
+    return way.select("graph_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("seq").cast("long").alias("seq"), T.tidy(F.col("y")).alias("y"))
+
+
+ORACLES["dag_waypoints"] = "WITH e AS (SELECT a.conv_id AS g, a.turn AS s, b.turn AS t FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn - a.turn = 3) SELECT g AS graph_id, s AS src, t AS dst, unnest([0, 1]) AS seq, CAST(s + 1 + unnest([0, 1]) AS DOUBLE) AS y FROM e"
+
+
+def _thirds(spark, d):
+    """The conversations with nothing but the skips of three: three components each, or as many as there are turns."""
+    g = src.chats(spark, d)
+    return Graph(g.vertices, g.edges.where("dst = src + 3"), True)
+
+
+@query("graph_components_many", "SELECT conv_id AS graph_id, turn AS pos, turn % 3 AS comp FROM conversations")
+def _(spark, d):
+    return G.components(_thirds(spark, d)).select("graph_id", F.col("pos").cast("long").alias("pos"), F.col("comp").cast("long").alias("comp"))
+
+
+@query("graph_connected_many", "SELECT conv_id AS graph_id, count(*) <= 1 AS connected FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    return G.is_connected(_thirds(spark, d))
+
+
+@query("dag_layers_many", "SELECT conv_id AS graph_id, turn AS pos, turn // 3 AS layer, turn % 3 AS x FROM conversations")
+def _(spark, d):
+    g = _thirds(spark, d)
+    return L.initial_x(L.longest_path(g)).select("graph_id", *[F.col(c).cast("long").alias(c) for c in ("pos", "layer", "x")])
+
+
+@query("graph_distances_weighted", "SELECT a.conv_id AS graph_id, a.turn AS i, b.turn AS j, CAST(0.5 * (b.turn - a.turn) AS DOUBLE) AS d FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn >= a.turn")
+def _(spark, d):
+    g = src.chats(spark, d)
+    heavy = Graph(g.vertices, g.edges.withColumn("w", F.when(F.expr("dst = src + 1"), 0.5).otherwise(4.0)), True)
+    return G.distances(heavy, weighted=True).select("graph_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "d")
+
+
+@query("graph_distance_grid", "SELECT a.conv_id AS graph_id, a.turn AS i, b.turn AS j, CASE WHEN b.turn - a.turn IN (1, 3) THEN CAST(b.turn - a.turn AS DOUBLE) ELSE 0.0 END AS d FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id")
+def _(spark, d):
+    g = src.chats(spark, d)
+    given = g.edges.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("dst") - F.col("src")).alias("d"))
+    return G.distance_grid(g, given).select("graph_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "d")
+
+
+for _kind, _end in {"out": "s", "in": "t"}.items():
+    query(f"graph_degrees_{_kind}", f"WITH {TREE} SELECT v, (SELECT count(*) FROM e WHERE e.{_end} = v) AS degree FROM t")(
+        lambda spark, d, kind=_kind: G.degrees(src.tree(spark, d), kind).select("v", "degree"))
+
+
+@query("tree_linkage_depth", "WITH k AS (SELECT unnest(range(24)) AS k) SELECT CAST(25 + k AS BIGINT) AS pos, CAST(CASE WHEN k = 23 THEN -1 ELSE 26 + k END AS BIGINT) AS parent, CAST(23 - k AS BIGINT) AS layer, 23 - k + power(0.5, 24) - power(0.5, k + 1) AS depth FROM k")
+def _(spark, d):
+    """The inner nodes of 25 nations joined one after another, at distances 1, 2, 3 and so on: the k-th stands at k + 2^-(k + 1)."""
+    steps = np.array([[0, 1, 1.0]] + [[24 + k, k + 1, 1.0 + k] for k in range(1, 24)])
+    return spark.createDataFrame(R.linkage_hierarchy(steps)).where("pos >= 25").select(*[F.col(c).cast("long").alias(c) for c in ("pos", "parent", "layer")], "depth")
 
 
 DIST = "d AS (SELECT a.conv_id AS g, a.turn AS i, b.turn AS j, CAST(abs(b.turn - a.turn) // 3 + abs(b.turn - a.turn) % 3 AS DOUBLE) AS d0 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id)"
@@ -266,6 +325,32 @@ def _(spark, d):
     return by_v(X.fr_step(g, S.circle(g), 0.2, 0.1), g)
 
 
+ARF_STEPS = 5
+_steps = [f"WITH {TRADE}, {ON_CIRCLE}, c0 AS (SELECT v, x, y FROM c)"]
+for _k in range(ARF_STEPS):
+    _steps.append(f"d{_k} AS (SELECT p.v AS i, q.v AS j, p.x - q.x AS dx, p.y - q.y AS dy, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM c{_k} p JOIN c{_k} q ON p.v <> q.v)")
+    _steps.append(f"f{_k} AS (SELECT j, sum((CASE WHEN w.w IS NULL THEN 1.0 ELSE 1.1 END - 5.0 / d) * dx) AS fx, sum((CASE WHEN w.w IS NULL THEN 1.0 ELSE 1.1 END - 5.0 / d) * dy) AS fy FROM d{_k} LEFT JOIN w ON w.a = i AND w.b = j GROUP BY j)")
+    _steps.append(f"c{_k + 1} AS (SELECT v, x + 0.001 * fx AS x, y + 0.001 * fy AS y FROM c{_k} JOIN f{_k} ON j = v)")
+
+
+@query("force_arf_steps", ", ".join(_steps) + f" SELECT {XY} FROM c{ARF_STEPS}")
+def _(spark, d):
+    g = src.trade(spark, d)
+    return by_v(X.arf_steps(g, S.circle(g), ARF_STEPS), g)
+
+
+@query("force_fa2_step", f"""WITH {TRADE}, {ON_CIRCLE}, {PAIRS}, b AS (SELECT a AS i, b AS j, w FROM w UNION ALL SELECT b, a, w FROM w), m AS (SELECT v, 1.0 + (SELECT count(*) FROM b WHERE b.i = v) AS m, x, y FROM c),
+r AS (SELECT d.i, sum((2 * p.m * q.m / (d * d) - coalesce(b.w, 0)) * dx) AS px, sum((2 * p.m * q.m / (d * d) - coalesce(b.w, 0)) * dy) AS py FROM d JOIN m p ON p.v = d.i JOIN m q ON q.v = d.j LEFT JOIN b ON b.i = d.i AND b.j = d.j GROUP BY d.i),
+o AS (SELECT v, m, x, y, x - avg(x) OVER () AS ox, y - avg(y) OVER () AS oy, count(*) OVER () AS n FROM m),
+f AS (SELECT v, m, x, y, n, px - m * ox / greatest(sqrt(ox * ox + oy * oy), 0.01) AS fx, py - m * oy / greatest(sqrt(ox * ox + oy * oy), 0.01) AS fy FROM o JOIN r ON r.i = v),
+s AS (SELECT *, m * sqrt(fx * fx + fy * fy) AS own, sum(m * sqrt(fx * fx + fy * fy)) OVER () AS swing FROM f),
+t AS (SELECT *, 1 + least(least(greatest(0.05 * sqrt(n), swing / 2 / (n * n)), 10.0) / 2 - 1, 0.5) AS speed FROM s),
+p AS (SELECT v, x + fx * speed / (1 + sqrt(speed * own)) AS x, y + fy * speed / (1 + sqrt(speed * own)) AS y FROM t) SELECT {XY} FROM p""")
+def _(spark, d):
+    g = src.trade(spark, d)
+    return by_v(X.fa2_step(g, S.circle(g)), g)
+
+
 def kernel(name: str, f, source=src.trade, **options) -> None:
     def run(spark, d):
         g = source(spark, d)
@@ -283,14 +368,21 @@ kernel("force_gem", K.gem, src.chats)
 kernel("force_lgl", K.lgl, src.tree)
 kernel("force_geometric", lambda n, e, w, p: K.geometric(n, e[e[:, 1] == e[:, 0] + 1], np.ones(int((e[:, 1] == e[:, 0] + 1).sum())), p), src.chats)
 kernel("layout_kamada_kawai", K.kamada_kawai)
-kernel("layout_neato", K.neato)
+query("layout_neato")(lambda spark, d: by_graph(V.neato(src.trade(spark, d))))
+query("force_spring_scaled")(lambda spark, d: by_graph(V.spring(src.trade(spark, d), scale=2.0)))
 kernel("mds_layout", K.mds, src.chats)
 
 
 @query("lgl_cells", f"WITH {CUSTOMERS}, p AS (SELECT v, cos(2 * pi() * i / n) AS x, sin(2 * pi() * i / n) AS y FROM v) SELECT v, CAST(floor((round(x, 6) + 1) / 0.1) AS BIGINT) AS cx, CAST(floor((round(y, 6) + 1) / 0.1) AS BIGINT) AS cy FROM p")
 def _(spark, d):
-    at = T.tidied(S.circle(src.customers(spark, d)))
-    return at.select("v", F.floor((F.col("x") + 1) / F.lit(0.1)).cast("long").alias("cx"), F.floor((F.col("y") + 1) / F.lit(0.1)).cast("long").alias("cy"))
+    return X.cells(T.tidied(S.circle(src.customers(spark, d))), 0.1, -1.0).select("v", "cx", "cy")
+
+
+@query("lgl_neighbors", f"WITH {CUSTOMERS}, p AS (SELECT v, cos(2 * pi() * i / n) AS x, sin(2 * pi() * i / n) AS y FROM v), c AS (SELECT v, floor((round(x, 6) + 1) / 0.1) AS cx, floor((round(y, 6) + 1) / 0.1) AS cy FROM p) SELECT a.v, count(*) AS near FROM c a JOIN c b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) <= 1 AND a.v <> b.v GROUP BY a.v")
+def _(spark, d):
+    at = X.cells(T.tidied(S.circle(src.customers(spark, d))), 0.1, -1.0)
+    near = X.cell_neighbours(at).groupBy("graph_id", F.col("i").alias("pos")).agg(F.count("*").alias("near"))
+    return near.join(at, ["graph_id", "pos"]).select("v", "near")
 
 
 def _knn(spark, d):
@@ -329,6 +421,17 @@ def _(spark, d):
     return M.firing(_weights(spark, d), 100)
 
 
+@query("umap_edge_distances", f"WITH {KNN} SELECT source, target, round(distance, 6) + 0.0 AS distance FROM k")
+def _(spark, d):
+    k = _knn(spark, d)
+    return M.edge_distances(k.select("source", "target"), k).withColumn("distance", T.tidy(F.col("distance")))
+
+
+@query("umap_unweighted", f"WITH {KNN} SELECT DISTINCT least(source, target) AS source, greatest(source, target) AS target, 1.0 AS weight FROM k")
+def _(spark, d):
+    return M.unweighted(_knn(spark, d))
+
+
 @query("umap_sigma_rho")
 def _(spark, d):
     return M.sigmas(_knn(spark, d))
