@@ -39,6 +39,9 @@ GRAM = 5
 #: A 5-gram is frequent if it makes up this share of all, and is in FEW documents at least; 1 / share of them can be, which take 72 MB.
 FREQUENT = 2.0**-23
 FEW = 16
+#: Longs of a set's parity.
+WIDE = 8
+PARITY = [f"p{k}" for k in range(WIDE)]
 #: Bits of a token that hold the hash.
 HASHED = np.uint64(58)
 CHUNK = 1 << 20
@@ -117,6 +120,12 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in (mix(s ^ STEP).sum(dtype=np.uint64), mix(s ^ BASE).sum(dtype=np.uint64)))
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """For each of 64 * WIDE bits whether an odd number of tokens fall on it. Sets differ in as many tokens as parities in bits, at least."""
+    odd = np.bincount((s & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def prefix(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
@@ -127,11 +136,11 @@ def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, s1, s2, n) of every document, key being a hash of the row; and, with n null, (token as s1, count as s2) of what is frequent within a task."""
+    """(doc_id, key, s1, s2, n, and the PARITY) of every document, key being a hash of the row; and, with n null, (token as s1, count as s2) of what is frequent within a task."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        schema = [("doc_id", pa.int64()), ("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64())]
+        schema = [("doc_id", pa.int64()), ("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), *((c, pa.int64()) for c in PARITY)]
         seen, size, waiting = set(), 0, 0
 
         def often() -> list[tuple]:
@@ -139,13 +148,13 @@ def survey(docs: DataFrame) -> DataFrame:
                 return []
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             ok = counts >= max(2, int(size * FREQUENT))
-            return [(None, None, t, c, None) for t, c in zip(tokens[ok].view(np.int64).tolist(), counts[ok].tolist())]
+            return [(None, None, t, c, None, *[None] * WIDE) for t, c in zip(tokens[ok].view(np.int64).tolist(), counts[ok].tolist())]
 
         for batch in batches:
             out = []
             for doc_id, key, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1))):
                 s1, s2 = signature(s)
-                out.append((doc_id, key, s1, s2, len(s)))
+                out.append((doc_id, key, s1, s2, len(s), *parity(s)))
                 if s1 not in seen:
                     seen.add(s1)
                     held.append(s)
@@ -157,7 +166,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 held, size, waiting = [], 0, 0
         yield _batch(often(), schema)
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text")).mapInArrow(look, "doc_id long, key long, s1 long, s2 long, n long")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text")).mapInArrow(look, "doc_id long, key long, s1 long, s2 long, n long, " + ", ".join(f"{c} long" for c in PARITY))
 
 
 def postings(docs: DataFrame, frequent, num: int, den: int) -> DataFrame:
@@ -286,7 +295,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_round
     tokens = often["s1"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[by], np.log2(np.maximum(often["m"].to_numpy(float), 1)).astype(np.uint8)[by]))
-    classes = stored(each.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
+    classes = stored(each.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *PARITY)], F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
     lists = stored(shared(postings(docs, frequent, num, den)))
     # A class whose prefix is shared most is the likeliest middle of a group of copies.
     own = lists.groupBy(F.col("sig").alias("s")).agg((F.first("n") - F.ceil(F.first("n") * num / den) + 1 - F.count("*")).cast("int").alias("u"))
@@ -319,7 +328,14 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_round
             pairs = pairs.groupBy("sig").agg(F.max_by("h", F.struct("m", "h")).alias("b")).select(F.col("sig").alias("a"), "b")
         else:
             a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-            pairs = lists.alias("a").join(lists.alias("b"), (a("token") == b("token")) & (a("sig") < b("sig")) & (a("g") != b("g")) & fits(a, b))
+            # A pair can't share more tokens than either class has in the lists that are left.
+            most = lists.groupBy(F.col("sig").alias("s")).agg(F.count("*").cast("int").alias("c"))
+            bits = classes.select(F.col("s1").alias("k"), *PARITY)
+            own = stored(lists.join(most, F.col("sig") == F.col("s")).join(bits, F.col("sig") == F.col("k")).select("token", "sig", "n", "i", "g", "c", *PARITY))
+            apart = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in PARITY), F.lit(0))
+            # Sets of that similarity differ in (den - num) / (den + num) of their sizes' sum.
+            close = fits(a, b) & reach(F.least(a("c"), b("c")), a("n"), b("n")) & ((den + num) * apart <= (den - num) * (a("n") + b("n")))
+            pairs = own.alias("a").join(own.alias("b"), (a("token") == b("token")) & (a("sig") < b("sig")) & (a("g") != b("g")) & close)
             pairs = pairs.groupBy(a("sig").alias("a"), b("sig").alias("b"), a("n").alias("x"), b("n").alias("y")).agg(F.count("*").alias("m"))
             pairs = pairs.where(reach(F.col("m"), F.col("x"), F.col("y"))).select("a", "b")
             pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
