@@ -208,6 +208,16 @@ def test_pseudonyms_of_odd_tables(spark):
     assert len(got) == 3 and max(r.n_pii for r in got) == 1 and pii.pseudonymise(df.where("false")).count() == 0
 
 
+def test_pseudonyms_keep_columns_of_clashing_names(spark):
+    rows = [(1, "on 2020-02-03", "a", "b", "c", 9), (2, "nothing", None, "e", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__old` string, `__OLD1` string, `__new` string, N_PII long")
+    got = pii.pseudonymise(df).orderBy("doc_id")
+    plain = pii.pseudonymise(df.select("doc_id", "text")).orderBy("doc_id")
+    assert got.columns == ["doc_id", "text", "__old", "__OLD1", "__new", "n_pii"]
+    assert [tuple(r)[2:5] for r in got.collect()] == [r[2:5] for r in rows]
+    assert got.select("doc_id", "text", "n_pii").collect() == plain.collect()
+
+
 def test_contamination_of_odd_tables(spark):
     items = spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(20))), (2, "c1 c2 c3")], "item_id long, text string")
     long = "w " * 30000 + " ".join(f"b{k}" for k in range(3, 18))

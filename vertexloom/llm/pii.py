@@ -7,7 +7,8 @@ different ones stay different, and each pseudonym is again valid. The rounds
 are keyed SHA-256. Dates walk the permutation's cycle until they are dates.
 
 Defined results: a null text stays null; what doesn't validate stays as it is;
-all columns are kept; n_pii counts the replaced values.
+all columns are kept, whatever their names, but for an n_pii of the input, which
+the new one replaces; n_pii counts the values that changed.
 """
 
 from __future__ import annotations
@@ -92,12 +93,14 @@ def pseudonymise(docs: DataFrame, key: str = "vertexloom", inverse: bool = False
     """docs with the values in text replaced, and n_pii. With inverse, the originals of pseudonyms made under the key."""
     some = F.col("text").rlike("[0-9][0-9.-][0-9]|[0-9]\\.[0-9]") & F.col("text").rlike(FOUND)
     values = F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))
-    made = docs.withColumn("__old", F.when(some, values)).withColumn("__new", F.when(some, F.transform("__old", lambda x: pseudonym(x, key, inverse))))
+    taken = {c.lower() for c in docs.columns}
+    old, new = (next(x for k in range(len(taken) + 1) if (x := f"{name}{k or ''}") not in taken) for name in ("__old", "__new"))
+    made = docs.withColumn(old, F.when(some, values)).withColumn(new, F.when(some, F.transform(old, lambda x: pseudonym(x, key, inverse))))
     between = F.split("text", FOUND)
-    text = F.array_join(F.zip_with(between, "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("__old", "__new", lambda a, b: a != b), lambda c: c))
-    cols = [F.when(F.col("__new").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_pii"]
-    return made.select(*cols, F.when(F.col("__new").isNull(), F.lit(0)).otherwise(changed).alias("n_pii"))
+    text = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda c: c))
+    cols = [F.when(F.col(new).isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_pii"]
+    return made.select(*cols, F.when(F.col(new).isNull(), F.lit(0)).otherwise(changed).alias("n_pii"))
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
