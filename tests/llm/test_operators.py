@@ -106,6 +106,42 @@ def test_short_lines_are_brute_force(spark):
     assert len(similar) > 40 and all(got.get(i, -1) == got.get(j, -2) for i, j in similar)
 
 
+def test_short_unlike_lines_seldom_share_keys(spark):
+    rng = np.random.default_rng(11)
+    parts = "the on ing er and tion ha re th an in es of en".split()
+    word = lambda: "".join(rng.choice(parts, rng.integers(1, 4)))
+    lines = list(dict.fromkeys(" ".join(word() for _ in range(rng.integers(5, 11))) for _ in range(600)))
+    df = spark.createDataFrame([(0, i, 0, t, i, i) for i, t in enumerate(lines)], "doc_id long, rid long, pos int, norm string, h1 long, h2 long")
+    units = linededup.compared(df, 5).where("by_chars")
+    # Common runs of five characters make nearly every line of this kind a candidate for most others.
+    m = [r["count"] for r in linededup.shared_keys(units, 0.9).groupBy("key").count().collect()]
+    assert sum(x * (x - 1) // 2 for x in m) < 600
+
+
+def test_segments_are_brute_force(spark):
+    rng = np.random.default_rng(13)
+    lines = []
+    for size in [10, 19, 20, 33, 59, 60, 90, 108, 109, 118, 120, 121, 126, 133, 140] * 4:
+        base = "".join(rng.choice(list("abc"), size))
+        for _ in range(3):
+            w, left = list(base), size // 10
+            while left > 0:
+                run = int(rng.integers(1, left + 1))
+                at, kind = int(rng.integers(0, len(w))), rng.integers(3)
+                w[at : at + run * (kind < 2)] = list(rng.choice(list("abc"), run)) if kind else []
+                left -= run
+            lines += [base, "".join(w)]
+    lines = [t for t in dict.fromkeys(lines) if len(t) > 5]
+    df = spark.createDataFrame([(i, " ".join(t), True) for i, t in enumerate(lines)], "h1 long, norm string, by_chars boolean")
+    own = {}
+    for r in linededup.shared_keys(df, 0.9).collect():
+        own.setdefault(r.key, []).append((r.h1, r.own))
+    met = {(min(a, b), max(a, b)) for rows in own.values() for a, x in rows for b, y in rows if a != b and (x or y)}
+    near = [(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= max(len(lines[i]), len(lines[j])) // 10]
+    similar = {(i, j) for i, j in near if word_edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) // 10}
+    assert len(similar) > 150 and similar <= met
+
+
 def test_simhash_is_brute_force(spark):
     lines = ["alpha beta gamma delta", "alpha beta gamma omega of to", "one only three four five six seven"]
     df = spark.createDataFrame([(0, i, 0, t, i, i) for i, t in enumerate(lines)], "doc_id long, rid long, pos int, norm string, h1 long, h2 long")
