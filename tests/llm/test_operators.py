@@ -57,6 +57,28 @@ def test_decontaminate(spark, corpus):
     assert {r.doc_id for r in near.collect()} == {9, 10}
 
 
+def test_posting_lists_of_equal_members_meet_once(spark):
+    rng = np.random.default_rng(17)
+    word = lambda: f"w{rng.integers(100000)}"
+    passage = [word() for _ in range(80)]
+    texts = [" ".join([word() for _ in range(40)] + passage[: 50 + 5 * (k % 7)] + [word() for _ in range(20)]) for k in range(12)]
+    texts += [texts[0].replace(passage[9], "new"), " ".join(texts[1].split()[:-12])]
+    lists = jaccard.shared(jaccard.postings(docs(spark, texts), spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.uint8))), 75, 100))
+    whole = {}
+    for r in lists.collect():
+        whole.setdefault(r.token, set()).add(r.sig)
+    met = {}
+    for r in jaccard.alike(lists).collect():
+        met.setdefault(r.token, (r.w, set()))[1].add(r.sig)
+    assert len(met) == len({frozenset(x) for x in whole.values()}) < len(whole) and sum(w for w, _ in met.values()) == len(whole)
+    shares = lambda x: sorted((a, b) for a in x for b in x if a < b)
+    assert sorted(p for x in whole.values() for p in shares(x)) == sorted(p for w, x in met.values() for p in shares(x) for _ in range(w))
+    s = [sets(t) for t in texts]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(spark, texts)).collect()}
+    near = {(i, j) for j in range(len(s)) for i in range(j) if 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j])}
+    assert {(0, 12), (1, 13)} <= near and all(got[i] == got[j] for i, j in near)
+
+
 def test_line_dedup(spark):
     line = " ".join(f"sentence{i}" for i in range(30))
     texts = [f"{line}\nshort", f"Other text stands in this line here\n{line.upper()}!", line.replace("sentence3 ", "sentence4 "), None, "", "short\nshort"]

@@ -223,6 +223,13 @@ def shared(lists: DataFrame) -> DataFrame:
     return lists.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(keep, lists.schema)
 
 
+def alike(lists: DataFrame) -> DataFrame:
+    """Of posting lists of the same sets, as the tokens of a common passage have them, the one of the least token, with their number w: a pair meets once in them."""
+    each = lists.groupBy("token").agg(F.bit_xor(F.xxhash64("sig")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "sig")).alias("x2"), F.count("*").alias("size"))
+    once = each.groupBy("x1", "x2", "size").agg(F.min("token").alias("t"), F.count("*").alias("w"))
+    return lists.join(once.select("t", "w"), F.col("token") == F.col("t")).drop("t")
+
+
 def fetched(docs: DataFrame, classes: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
     """(sig, s, o1, o2): the sets of sigs(sig), made anew from the texts, and their prefixes under the further orders, 32 bits a token."""
     reps = classes.join(sigs, classes.s1 == F.col("sig"), "left_semi").select(F.col("rep").alias("r")).distinct()
@@ -331,12 +338,12 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_round
             # A pair can't share more tokens than either class has in the lists that are left.
             most = lists.groupBy(F.col("sig").alias("s")).agg(F.count("*").cast("int").alias("c"))
             bits = classes.select(F.col("s1").alias("k"), *PARITY)
-            own = stored(lists.join(most, F.col("sig") == F.col("s")).join(bits, F.col("sig") == F.col("k")).select("token", "sig", "n", "i", "g", "c", *PARITY))
+            own = stored(alike(lists).join(most, F.col("sig") == F.col("s")).join(bits, F.col("sig") == F.col("k")).select("token", "w", "sig", "n", "i", "g", "c", *PARITY))
             apart = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in PARITY), F.lit(0))
             # Sets of that similarity differ in (den - num) / (den + num) of their sizes' sum.
             close = fits(a, b) & reach(F.least(a("c"), b("c")), a("n"), b("n")) & ((den + num) * apart <= (den - num) * (a("n") + b("n")))
             pairs = own.alias("a").join(own.alias("b"), (a("token") == b("token")) & (a("sig") < b("sig")) & (a("g") != b("g")) & close)
-            pairs = pairs.groupBy(a("sig").alias("a"), b("sig").alias("b"), a("n").alias("x"), b("n").alias("y")).agg(F.count("*").alias("m"))
+            pairs = pairs.groupBy(a("sig").alias("a"), b("sig").alias("b"), a("n").alias("x"), b("n").alias("y")).agg(F.sum(a("w")).alias("m"))
             pairs = pairs.where(reach(F.col("m"), F.col("x"), F.col("y"))).select("a", "b")
             pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
