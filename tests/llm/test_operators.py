@@ -79,6 +79,27 @@ def test_posting_lists_of_equal_members_meet_once(spark):
     assert {(0, 12), (1, 13)} <= near and all(got[i] == got[j] for i, j in near)
 
 
+def test_unlike_documents_of_common_tokens_seldom_meet(spark):
+    rng = np.random.default_rng(23)
+    base = [f"w{k}" for k in rng.integers(0, 100000, 300)]
+
+    def edited(words, n):
+        at = set(rng.choice(len(words), n, replace=False).tolist())
+        return [f"new{rng.integers(100000)}" if k in at else w for k, w in enumerate(words)]
+
+    texts = [edited(base, 6) for _ in range(30)]
+    texts = [" ".join(t) for t in texts + [edited(t, 1) for t in texts[:6]] + [t[:-30] for t in texts[6:12]]]
+    few = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.uint8)))
+    lists = jaccard.shared(jaccard.postings(docs(spark, texts), few, 75, 100)).withColumn("g", F.col("sig"))
+    classes = jaccard.survey(docs(spark, texts)).where("n > 0")
+    rows = [(r.a, r.b) for r in jaccard.meetings(lists, classes, 75, 100).collect()]
+    s, of = [sets(t) for t in texts], {r.doc_id: r.s1 for r in classes.collect()}
+    pairs = {tuple(sorted((of[i], of[j]))): 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]) for j in range(len(s)) for i in range(j)}
+    near = {p for p in pairs if pairs[p]}
+    # They met in 4,839 lists when every token of a pair counted.
+    assert len(near) >= 12 and near <= set(rows) and len(rows) <= 3 * len(pairs)
+
+
 def test_line_dedup(spark):
     line = " ".join(f"sentence{i}" for i in range(30))
     texts = [f"{line}\nshort", f"Other text stands in this line here\n{line.upper()}!", line.replace("sentence3 ", "sentence4 "), None, "", "short\nshort"]

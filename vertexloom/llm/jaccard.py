@@ -11,6 +11,10 @@ prefix tokens a pair shares bound its overlap. The pairs left must share prefix
 tokens under two further orders as well, before any whole set moves; those that
 do are verified on the whole sets.
 
+Of the tokens that a pair shares one is the first, and from there on either set
+must still hold the whole overlap. So the last pairing meets two sets only at
+tokens that are early enough in both, not at every token of a common passage.
+
 Groups of copies are not expanded into pairs: in every posting list, classes
 are first tried against one hub, the one that has fewest tokens of its own, and
 united, a few times over; only pairs between classes still apart are then made.
@@ -25,7 +29,7 @@ such tokens (128 bits) for a whole set.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -224,12 +228,52 @@ def shared(lists: DataFrame) -> DataFrame:
 
 
 def alike(lists: DataFrame) -> DataFrame:
-    """Of posting lists of the same sets, as the tokens of a common passage have them, the one of the least token, with their number w: a pair meets once in them."""
-    each = lists.groupBy("token").agg(F.bit_xor(F.xxhash64("sig")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "sig")).alias("x2"), F.count("*").alias("size"))
-    once = each.groupBy("x1", "x2", "size").agg(F.min("token").alias("t"), F.count("*").alias("w"))
+    """Of posting lists of the same sets, as the tokens of a common passage have them, the one of the first token in the order, with their number w: a pair meets once in them."""
+    # All sets have the same order, so places in any one of them tell which token is first.
+    each = lists.groupBy("token").agg(F.bit_xor(F.xxhash64("sig")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "sig")).alias("x2"), F.count("*").alias("size"), F.min(F.struct("sig", "i")).alias("at"))
+    once = each.groupBy("x1", "x2", "size").agg(F.min(F.struct("at.i", "token"))["token"].alias("t"), F.count("*").alias("w"))
     return lists.join(once.select("t", "w"), F.col("token") == F.col("t")).drop("t")
 
 
+def bounds(num: int, den: int) -> tuple[Callable, Callable, Callable]:
+    """What sets of x and y tokens must pass to be similar: enough(overlap at most, x, y), reach(prefix tokens shared at most, x, y) and fits() at a shared token."""
+    # Shared tokens that end the shorter reach are all among the m of both prefixes; the rest is at most one set's remainder.
+    rest_of = lambda n: F.ceil(n * num / den) - 1
+
+    def enough(most, x, y):
+        return den * most >= num * (x + y - most)
+
+    def reach(m, x, y):
+        return enough(m + F.greatest(rest_of(x), rest_of(y)), x, y)
+
+    def fits(x, y):
+        """Whether a token at its places in both prefixes allows for the similarity."""
+        before, after = F.least(x("i"), y("i")), F.least(x("n") - x("i"), y("n") - y("i"))
+        return enough(before + after, x("n"), y("n"))
+
+    return enough, reach, fits
+
+
+def meetings(lists: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of sets in different groups g, among them all similar ones, a row for each list in which they meet."""
+    enough, reach, _ = bounds(num, den)
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    # A pair can't share more tokens than either class has in the lists that are left, less those that parity tells apart.
+    bit, lane = F.expr("shiftleft(1L, cast(token & 63 AS int))"), F.shiftrightunsigned("token", 6).bitwiseAND(F.lit(WIDE - 1))
+    left = [F.bit_xor(F.when(lane == k, bit).otherwise(F.lit(0))).alias(f"q{k}") for k in range(WIDE)]
+    most = lists.groupBy(F.col("sig").alias("s")).agg(F.count("*").cast("int").alias("c"), *left)
+    whole = classes.select(F.col("s1").alias("k"), *PARITY)
+    own = stored(alike(lists).join(most, F.col("sig") == F.col("s")).join(whole, F.col("sig") == F.col("k")).drop("s", "k", "w", "u"))
+    apart = lambda cols: sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in cols), F.lit(0))
+    common = F.least(a("c"), b("c"), F.floor((a("c") + b("c") - apart([f"q{k}" for k in range(WIDE)])) / 2))
+    # The first token of all that a pair shares has the whole overlap behind it; alike() keeps that of its list.
+    first = enough(F.least(a("n") - a("i"), b("n") - b("i")), a("n"), b("n"))
+    # Sets of that similarity differ in (den - num) / (den + num) of their sizes' sum.
+    close = first & reach(common, a("n"), b("n")) & ((den + num) * apart(PARITY) <= (den - num) * (a("n") + b("n")))
+    pairs = own.alias("a").join(own.alias("b"), (a("token") == b("token")) & (a("sig") < b("sig")) & (a("g") != b("g")) & close)
+    return pairs.select(a("sig").alias("a"), b("sig").alias("b"))
+
+
 def fetched(docs: DataFrame, classes: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
     """(sig, s, o1, o2): the sets of sigs(sig), made anew from the texts, and their prefixes under the further orders, 32 bits a token."""
     reps = classes.join(sigs, classes.s1 == F.col("sig"), "left_semi").select(F.col("rep").alias("r")).distinct()
@@ -308,20 +352,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_round
     own = lists.groupBy(F.col("sig").alias("s")).agg((F.first("n") - F.ceil(F.first("n") * num / den) + 1 - F.count("*")).cast("int").alias("u"))
     before, lists = lists, stored(lists.join(own, F.col("sig") == F.col("s")).drop("s").withColumn("g", F.col("sig")))
     dropped(before)
-    # Shared tokens that end the shorter reach are all among the m of both prefixes; the rest is at most one set's remainder.
-    rest_of = lambda n: F.ceil(n * num / den) - 1
-
-    def enough(most, x, y):
-        return den * most >= num * (x + y - most)
-
-    def reach(m, x, y):
-        return enough(m + F.greatest(rest_of(x), rest_of(y)), x, y)
-
-    def fits(x, y):
-        """Whether a token at its places in both prefixes allows for the similarity."""
-        before, after = F.least(x("i"), y("i")), F.least(x("n") - x("i"), y("n") - y("i"))
-        return enough(before + after, x("n"), y("n"))
-
+    _, reach, fits = bounds(num, den)
     tried = links = group = None
     nth = 0
     while nth <= hub_rounds:
@@ -334,17 +365,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, hub_round
             pairs = star if tried is None else star.join(tried.select(F.col("a").alias("sig"), F.col("b").alias("h")), ["sig", "h"], "left_anti")
             pairs = pairs.groupBy("sig").agg(F.max_by("h", F.struct("m", "h")).alias("b")).select(F.col("sig").alias("a"), "b")
         else:
-            a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-            # A pair can't share more tokens than either class has in the lists that are left.
-            most = lists.groupBy(F.col("sig").alias("s")).agg(F.count("*").cast("int").alias("c"))
-            bits = classes.select(F.col("s1").alias("k"), *PARITY)
-            own = stored(alike(lists).join(most, F.col("sig") == F.col("s")).join(bits, F.col("sig") == F.col("k")).select("token", "w", "sig", "n", "i", "g", "c", *PARITY))
-            apart = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in PARITY), F.lit(0))
-            # Sets of that similarity differ in (den - num) / (den + num) of their sizes' sum.
-            close = fits(a, b) & reach(F.least(a("c"), b("c")), a("n"), b("n")) & ((den + num) * apart <= (den - num) * (a("n") + b("n")))
-            pairs = own.alias("a").join(own.alias("b"), (a("token") == b("token")) & (a("sig") < b("sig")) & (a("g") != b("g")) & close)
-            pairs = pairs.groupBy(a("sig").alias("a"), b("sig").alias("b"), a("n").alias("x"), b("n").alias("y")).agg(F.sum(a("w")).alias("m"))
-            pairs = pairs.where(reach(F.col("m"), F.col("x"), F.col("y"))).select("a", "b")
+            pairs = meetings(lists, classes, num, den).distinct()
             pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         if pairs.isEmpty():  # no hub is left to try, or nothing at all
