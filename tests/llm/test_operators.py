@@ -35,6 +35,30 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(31)) and got[102] == 100 and all(got[k] == 500 for k in range(500, 560))
 
 
+def test_components_of_few_links_take_few_jobs(spark):
+    rng = np.random.default_rng(29)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (200, 2)) * 2**50] + [(i + 1, i) for i in range(40)] + [(None, 3), (3, None), (9, 9)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    up = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+    for _ in up:
+        for a, b in pairs:
+            if a in up and b in up:
+                up[a] = up[b] = min(up[a], up[b])
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+
+    def jobs(local):
+        sc.setJobGroup(f"components {local}", "")
+        got = components(spark, links, local=local).collect()
+        sc.setJobGroup("", "")
+        assert len(got) == len(up) and {r.node: r.component for r in got} == up
+        return len(tracker.getJobIdsForGroup(f"components {local}"))
+
+    # The first way is the only one for more links than a broadcast may have.
+    assert jobs(0) > 12 >= jobs(200_000)
+    assert components(spark, links.where("false")).count() == 0
+    assert {tuple(r) for r in components(spark, spark.createDataFrame([("b", "a")], "a string, b string")).collect()} == {("a", "a"), ("b", "a")}
+
+
 def test_jaccard_is_brute_force(spark, corpus):
     s = [sets(t) for t in corpus]
     up = list(range(len(s)))
