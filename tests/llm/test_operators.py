@@ -279,6 +279,44 @@ def test_similar_lines_are_brute_force(spark):
     assert {(min(r), max(r)) for r in links.collect()} <= similar
 
 
+def test_parity_of_characters_tells_anagrams_apart(spark):
+    rng = np.random.default_rng(6)
+    lines = ["".join(rng.choice(list("abcdefghij_"), 60)) for _ in range(6)]
+    for base in list(lines):
+        lines.append("".join(rng.permutation(list(base))))
+        for n_edits in (1, 3, 6):
+            w = list(base)
+            for _ in range(n_edits):
+                k, kind = int(rng.integers(len(w))), rng.integers(3)
+                w[k : k + (kind > 0)] = [] if kind == 2 else ["z"]
+            lines.append("".join(w))
+    df = spark.createDataFrame([(i, t, len(t), True) for i, t in enumerate(lines)], "h1 long, t string, words int, by_chars boolean")
+    c = linededup.wide_parity(df).join(df, "h1")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    kept = {tuple(r) for r in c.alias("a").crossJoin(c.alias("b")).where("a.h1 < b.h1").where(linededup._close_in_words(a, b, 0.9)).select("a.h1", "b.h1").collect()}
+    similar = {(i, j) for j in range(len(lines)) for i in range(j) if word_edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) // 10}
+    anagrams = {(i, 6 + 4 * i) for i in range(6)}
+    assert len(similar) > 12 and similar <= kept and not anagrams & kept
+
+
+def test_large_group_of_near_copies_is_not_paired_out(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = [f"word{i}" for i in range(60)]
+    lines = []
+    for n_edits in [3] * 110 + [4] * 30:
+        w = list(base)
+        for k in rng.choice(60, n_edits, replace=False).tolist():
+            w[k] = f"new{rng.integers(10**6)}"
+        lines.append(w)
+    seen, real = [], linededup.verified
+    monkeypatch.setattr(linededup, "verified", lambda texts, pairs, similarity: seen.append(pairs.count()) or real(texts, pairs, similarity))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "h1 long, norm string")
+    got = {r.node: r.component for r in components(spark, linededup.similar_lines(df, None, 0.9)).collect()}
+    similar = [(i, j) for j in range(len(lines)) for i in range(j) if sum(x != y for x, y in zip(lines[i], lines[j])) <= 6]
+    assert len(similar) > 5000 and all(got[i] == got[j] for i, j in similar)
+    assert seen[-1] < 2 * len(lines)
+
+
 def test_packing_round_trip(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
