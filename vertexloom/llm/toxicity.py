@@ -46,7 +46,8 @@ STANDS_FOR = {
 SEPARATORS = ".-_*~'’·•,/\\​‌‍­ "
 EDGES = ".,;:!?\"'()[]{}<>%#&*|~-_…«»“”‘’`^=/\\"
 SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*]{1,2}[\w@$!|+]){2,}(?!\w)")
-THRICE = re.compile(r"(.)\1\1")
+#: What makes a token of letters look disguised: one of them three times in a row, or a look-alike.
+ODD = re.compile(r"(.)\1\1|[" + "".join(c for c in STANDS_FOR if c.isalpha()) + "]")
 RUN = re.compile(r"(.)\1+")
 #: Costs of the channel, in nats.
 SUBSTITUTE, DROP_REPEAT, DROP_SEPARATOR, DROP_OTHER, WILD = 0.5, 0.7, 0.2, 6.0, 3.0
@@ -169,7 +170,7 @@ def restore_by_arrays(token: str, lm: np.ndarray) -> str:
 
 def disguised(token: str) -> bool:
     if token.isalpha():
-        return THRICE.search(token) is not None or any(c in STANDS_FOR for c in token)
+        return ODD.search(token) is not None
     letters = sum(c.isalpha() for c in token)
     odd = sum(c in STANDS_FOR and not c.isalpha() for c in token)
     return letters + odd > 2 and letters > 0
@@ -191,6 +192,10 @@ def features(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in range(4, min(len(word), 8)))]
 
 
+def spaced_words(low: str, lm: np.ndarray) -> Iterator[str]:
+    return ("~" + restore(m[0], lm) for m in SPACED.finditer(low))
+
+
 def words_of(text: str, lm: np.ndarray, memo: dict[str, list[str]]) -> Iterator[str]:
     low = text.lower()
     for token in low.split():
@@ -200,8 +205,7 @@ def words_of(text: str, lm: np.ndarray, memo: dict[str, list[str]]) -> Iterator[
                 memo.clear()
             got = memo[token] = restored(token, lm)
         yield from got
-    for m in SPACED.finditer(low):
-        yield "~" + restore(m[0], lm)
+    yield from spaced_words(low, lm)
 
 
 class Lexicon:
@@ -212,33 +216,60 @@ class Lexicon:
         whole = [w for w in weights if w[0] != "^" and len(w) > 3]
         self.squeezed = {RUN.sub(r"\1", w): weights[w] for w in whole}
         self.inside = re.compile("|".join(map(re.escape, sorted(whole, key=len, reverse=True)))) if whole else None
-        self.memo: dict[str, float] = {}
+        #: What a word that weighs something by itself begins with.
+        self.heads = {w.removeprefix("^")[:4] for w in weights}
+        #: Under one language model: tokens of a single word that weighs nothing, and what others hold.
+        self.lm, self.plain, self.held = None, set(), {}
 
     def weigh(self, word: str) -> float:
-        got = self.memo.get(word)
+        if word[0:1] == "~":
+            found = self.inside.findall(word) + self.inside.findall(RUN.sub(r"\1", word)) if self.inside else []
+            return max([0.0, *(self.weights[x] for x in found)])
+        got = max(self.weights.get(f, 0.0) for f in features(word)) if word and word[:4] in self.heads else 0.0
+        return got or self.squeezed.get(RUN.sub(r"\1", word) if RUN.search(word) else word, 0.0)
+
+    def holds(self, token: str, lm: np.ndarray) -> tuple[int, list[tuple[str, float]]]:
+        """How many words a token has, and those that weigh something with their weights."""
+        got = self.held.get(token)
         if got is None:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            if word[0:1] == "~":
-                found = self.inside.findall(word) + self.inside.findall(RUN.sub(r"\1", word)) if self.inside else []
-                got = max([0.0, *(self.weights[x] for x in found)])
+            ws = restored(token, lm)
+            got = len(ws), [(w, x) for w in ws if (x := self.weigh(w))]
+            # The bounds are for memory; what was dropped is worked out again.
+            if got == (1, []):
+                if len(self.plain) > 200_000:
+                    self.plain.clear()
+                self.plain.add(token)
             else:
-                got = max(self.weights.get(f, 0.0) for f in features(word)) if word else 0.0
-                got = got or self.squeezed.get(RUN.sub(r"\1", word), 0.0)
-            self.memo[word] = got
+                if len(self.held) > 60_000:
+                    self.held.clear()
+                self.held[token] = got
         return got
 
-    def vector(self, text: str, lm: np.ndarray, memo: dict[str, list[str]]) -> list[float]:
-        n, hits = 0, []
+    def vector(self, text: str, lm: np.ndarray) -> list[float]:
+        if lm is not self.lm:
+            self.lm, self.plain, self.held = lm, set(), {}
+        low = text.lower()
+        tokens = low.split()
+        # Most tokens are plain; a comprehension passes over them.
+        rest = [t for t in tokens if t not in self.plain]
+        n, hits = len(tokens) - len(rest), 0
         seen: dict[str, float] = {}
-        for w in words_of(text, lm, memo):
+        for token in rest:
+            if token in self.plain:  # since this text began
+                n += 1
+                continue
+            k, found = self.holds(token, lm)
+            n += k
+            hits += len(found)
+            seen.update(found)
+        for w in spaced_words(low, lm):
             n += 1
             x = self.weigh(w)
             if x:
-                hits.append(x)
+                hits += 1
                 seen[w] = x
         top = sorted(seen.values(), reverse=True)[:2] + [0.0, 0.0]
-        return [1.0, top[0], top[1], math.log1p(len(hits)), math.log1p(len(seen)), 100 * len(hits) / (n + 20)]
+        return [1.0, top[0], top[1], math.log1p(hits), math.log1p(len(seen)), 100 * hits / (n + 20)]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -280,9 +311,9 @@ def fit(docs: DataFrame, labels: DataFrame, lm, sample: int, least: int = 8) ->
     lexicon = rows.sparkSession.sparkContext.broadcast(weights)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = Lexicon(lexicon.value), {}
+        own = Lexicon(lexicon.value)
         for batch in batches:
-            x = [own.vector(t, lm.value, memo) for t in batch.column(0).to_pylist()]
+            x = [own.vector(t, lm.value) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     got = rows.where("NOT half").select("text", F.col("toxic").cast("int")).mapInArrow(vectors, "x array<double>, y int").toPandas()
@@ -309,11 +340,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> DataFr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, model = known.value
-        own, memo = Lexicon(weights), {}
+        own = Lexicon(weights)
         for batch in batches:
             s = []
             for text in batch.column(at):
-                x = own.vector(text.as_py() or "", lm.value, memo) if model else []
+                x = own.vector(text.as_py() or "", lm.value) if model else []
                 s.append(1 / (1 + math.exp(-max(-30.0, min(30.0, sum(map(float.__mul__, x, model)))))) if model else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "score"])
 
