@@ -29,3 +29,17 @@ def test_odd_vectors(spark):
     assert {(r.source, r.target) for r in M.knn(one([0.0], [1.0], [float("nan")], [float("inf")]), 3).collect()} == {(0, 1), (1, 0)}
     with pytest.raises(Exception, match="same length"):
         M.knn(one([0.0], [1.0, 2.0]), 1).collect()
+
+
+def test_given_distances_are_worked_out_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame([(i, i + 1, float(i)) for i in range(50)], "source long, target long, distance double").mapInArrow(seen, "source long, target long, distance double")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "source long, target long")
+    assert {(r.source, r.distance) for r in M.edge_distances(edges, d).collect()} == {(i, float(i)) for i in range(50)}
+    assert ran.value == 50
