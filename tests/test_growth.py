@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from vertexloom.model import Graph
+from vertexloom.operators import kernels as K
 from vertexloom.operators import manifold as M
 
 
@@ -43,3 +44,28 @@ def test_given_distances_are_worked_out_once(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "source long, target long")
     assert {(r.source, r.distance) for r in M.edge_distances(edges, d).collect()} == {(i, float(i)) for i in range(50)}
     assert ran.value == 50
+
+
+def test_graphs_that_are_alike_are_solved_once_a_task(spark):
+    ran = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(7)
+    v = [(g, i) for g in range(60) for i in range(3 + g % 2)]
+    e = [(g, i, i + 1) for g in range(60) for i in range(2 + g % 2)] + [(58, 2, 0), (99, 0, 1)]
+    xy = {(g, i): rng.uniform(-1, 1, 2).tolist() if g in (10, 11) else [float(i), float(i * i)] for g, i in v}
+    many = Graph.of(spark.createDataFrame(v, "graph_id long, v long"), spark.createDataFrame(e, "graph_id long, src long, dst long"))
+    initial = spark.createDataFrame([(g, i, *p) for (g, i), p in xy.items()], "graph_id long, pos int, x double, y double")
+
+    def kernel(n, edges, weights, start, fixed):
+        ran.add(1)
+        return K.spring(n, edges, weights, start, fixed=fixed)
+
+    fixed = initial.where("pos = 0 AND graph_id <> 12")
+    got = {(r.graph_id, r.pos): (r.x, r.y) for r in many.lay_out(kernel, initial, fixed).collect()}
+    assert set(got) == set(v)
+    for g in range(60):
+        n = 3 + g % 2
+        edges = np.array(sorted((s, t) for h, s, t in e if h == g))
+        want = K.spring(n, edges, np.ones(len(edges)), np.array([xy[g, i] for i in range(n)]), fixed=[] if g == 12 else [0])
+        assert [got[g, i] for i in range(n)] == [tuple(p) for p in want]
+    # Of 3 and of 4 vertices, two with places of their own, one with nothing fixed, one with an edge more.
+    assert ran.value == 6

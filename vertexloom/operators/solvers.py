@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.model import LAYOUT, Graph
+from vertexloom.model import LAYOUT, Graph, each_graph
 from vertexloom.operators import kernels as K
 from vertexloom.plans.loops import cut
 
@@ -65,11 +65,11 @@ def sugiyama(g: Graph, **options) -> tuple[DataFrame, DataFrame]:
     if not g.directed:
         raise ValueError("sugiyama lays out directed graphs")
 
-    def run(key, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = len(v)
-        xy, ways = K.sugiyama(n, e.sort_values(["src", "dst"])[["src", "dst"]].to_numpy(int), np.ones(len(e)), None, waypoints=True, **options) if n else (np.zeros((0, 2)), {})
-        rows = [(int(key[0]), k, -1, -1, *p) for k, p in enumerate(xy)] + [(int(key[0]), i, j, seq, *p) for (i, j), way in ways.items() for seq, p in enumerate(way)]
-        return pd.DataFrame(rows, columns=["graph_id", "pos", "dst", "seq", "x", "y"])
+    def solve(own, edges, weights):
+        n = len(own["pos"])
+        xy, ways = K.sugiyama(n, edges, np.ones(len(edges)), None, waypoints=True, **options)
+        rows = [(k, -1, -1, *p) for k, p in enumerate(xy)] + [(i, j, seq, *p) for (i, j), way in ways.items() for seq, p in enumerate(way)]
+        return dict(zip(("pos", "dst", "seq", "x", "y"), map(np.array, zip(*rows))))
 
-    both = cut(g.vertices.select("graph_id", "pos").groupBy("graph_id").cogroup(g.own_edges().groupBy("g")).applyInPandas(run, "graph_id long, pos int, dst int, seq int, x double, y double"))
+    both = cut(each_graph(g.vertices.select("graph_id", "pos"), g.own_edges(), solve, "graph_id long, pos int, dst int, seq int, x double, y double"))
     return both.where("seq < 0").select("graph_id", "pos", "x", "y"), both.where("seq >= 0").select("graph_id", F.col("pos").alias("src"), "dst", "seq", "x", "y")
