@@ -6,6 +6,7 @@ import pytest
 from vertexloom.model import Graph
 from vertexloom.operators import kernels as K
 from vertexloom.operators import manifold as M
+from vertexloom.operators import stress as X
 
 
 def test_vectors_move_a_few_times_each(spark):
@@ -69,3 +70,14 @@ def test_graphs_that_are_alike_are_solved_once_a_task(spark):
         assert [got[g, i] for i in range(n)] == [tuple(p) for p in want]
     # Of 3 and of 4 vertices, two with places of their own, one with nothing fixed, one with an edge more.
     assert ran.value == 6
+
+
+def test_neighbours_are_counted_by_cell(spark):
+    p = np.random.default_rng(3).integers(0, 9, (60, 2)) / 2
+    df = spark.createDataFrame([(i % 2, i // 2, float(x), float(y)) for i, (x, y) in enumerate(p)], "graph_id long, pos int, x double, y double")
+    at = X.cells(df, 0.5)
+    want = {(r.graph_id, r.i): r["count"] for r in X.cell_neighbours(at).groupBy("graph_id", "i").count().collect()}
+    assert 0 < len(want) < 60 and {(r.graph_id, r.pos): r.near for r in X.cell_counts(at).collect()} == want
+    # A million vertices in one cell: pairs would be 10^12.
+    crowd = spark.range(1_000_000).selectExpr("0L AS graph_id", "cast(id AS int) AS pos", "0.1D AS x", "0.1D AS y")
+    assert X.cell_counts(X.cells(crowd, 0.5)).agg({"near": "sum"}).first()[0] == 1_000_000 * 999_999

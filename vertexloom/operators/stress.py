@@ -88,6 +88,14 @@ def cell_neighbours(at: DataFrame) -> DataFrame:
     return near.join(at.select("graph_id", "cx", "cy", F.col("pos").alias("j")), ["graph_id", "cx", "cy"]).where("i <> j").select("graph_id", "i", "j")
 
 
+def cell_counts(at: DataFrame) -> DataFrame:
+    """at of cells() with near: how many pairs cell_neighbours() has of each vertex, for those that have any. Counted by cell, so no pair is made."""
+    n = at.groupBy("graph_id", "cx", "cy").agg(F.count("*").alias("n"))
+    side = F.explode(F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
+    around = n.select("graph_id", side.alias("c"), "n").groupBy("graph_id", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy")).agg(F.sum("n").alias("all"))
+    return at.join(around, ["graph_id", "cx", "cy"]).withColumn("near", F.col("all") - 1).drop("all").where("near > 0")
+
+
 def fr_step(g: Graph, layout: DataFrame, k: float, temperature: float) -> DataFrame:
     e = g.both_ways().groupBy("graph_id", F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum("w").alias("w"))
     p = _pairs(layout).join(e, ["graph_id", "i", "j"], "left")
