@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vertexloom.model import Graph
+from vertexloom.model import Graph, numbered
 from vertexloom.operators import kernels as K
 from vertexloom.operators import manifold as M
+from vertexloom.operators import primitives as G
 from vertexloom.operators import stress as X
 
 
@@ -81,3 +83,56 @@ def test_neighbours_are_counted_by_cell(spark):
     # A million vertices in one cell: pairs would be 10^12.
     crowd = spark.range(1_000_000).selectExpr("0L AS graph_id", "cast(id AS int) AS pos", "0.1D AS x", "0.1D AS y")
     assert X.cell_counts(X.cells(crowd, 0.5)).agg({"near": "sum"}).first()[0] == 1_000_000 * 999_999
+
+
+def test_bipartition_of_long_and_odd_graphs(spark):
+    def sides(n, edges, directed=False):
+        g = Graph.of(spark.range(n).select(F.col("id").alias("v")), spark.createDataFrame(edges, "src long, dst long"), directed)
+        return [r.side for r in G.bipartition(g).orderBy("pos").collect()]
+
+    rng = np.random.default_rng(8)
+    n, color = 300, rng.integers(0, 2, 300)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, n, (450, 2)) if color[a] != color[b]]
+    near, want = {v: set() for v in range(n)}, [None] * n
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    for v in range(n):
+        todo = [(v, 0)] if want[v] is None else []
+        while todo:
+            w, s = todo.pop()
+            if want[w] is None:
+                want[w] = s
+                todo += [(x, 1 - s) for x in near[w]]
+    assert sides(n, edges, True) == want
+    for circle in (5, 6):
+        ring = [(i, (i + 1) % circle) for i in range(circle)]
+        if circle % 2:
+            with pytest.raises(ValueError):
+                sides(circle + 2, ring)
+        else:
+            assert sides(circle + 2, ring) == [0, 1, 0, 1, 0, 1, 0, 0]
+    with pytest.raises(ValueError):
+        sides(3, [(0, 1), (1, 1)])
+
+
+def test_long_paths_take_few_rounds_to_part(spark, monkeypatch):
+    cuts, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: cuts.append(1) or cut(df))
+    n = 200
+    order = np.random.default_rng(9).permutation(n).tolist()
+    path = spark.createDataFrame(list(zip(order, order[1:])), "src long, dst long")
+    got = {r.pos: r.side for r in G.bipartition(Graph.of(spark.range(n).select(F.col("id").alias("v")), path)).collect()}
+    first = order.index(0)
+    assert got == {v: abs(k - first) % 2 for k, v in enumerate(order)}
+    assert len(cuts) < 60  # a breadth-first search has a round for each step of the path
+
+
+def test_vertices_of_one_graph_are_numbered_in_several_tasks(spark):
+    v = np.random.default_rng(10).permutation(5000).tolist()
+    df = spark.createDataFrame([(0, 3 * i) for i in v], "graph_id long, v long")
+    got = numbered(df, 700)
+    assert {r.v: r.pos for r in got.collect()} == {3 * i: i for i in range(5000)}
+    assert dict(got.dtypes)["pos"] == "int" and dict(numbered(df).dtypes)["pos"] == "int"
+    most = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg({"count": "max"}).first()[0]
+    assert most < 5000
