@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vertexloom.model import Graph, numbered
+from vertexloom.model import Graph, dealt, numbered
 from vertexloom.operators import kernels as K
 from vertexloom.operators import manifold as M
 from vertexloom.operators import primitives as G
@@ -136,3 +136,8 @@ def test_vertices_of_one_graph_are_numbered_in_several_tasks(spark):
     assert dict(got.dtypes)["pos"] == "int" and dict(numbered(df).dtypes)["pos"] == "int"
     most = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg({"count": "max"}).first()[0]
     assert most < 5000
+
+
+def test_many_rows_are_dealt_over_tasks(spark):
+    df = spark.range(10)
+    assert dealt(df, 500_000, "id") is df and dealt(df, 1_200_000, "id").rdd.getNumPartitions() == 3
