@@ -141,3 +141,13 @@ def test_vertices_of_one_graph_are_numbered_in_several_tasks(spark):
 def test_many_rows_are_dealt_over_tasks(spark):
     df = spark.range(10)
     assert dealt(df, 500_000, "id") is df and dealt(df, 1_200_000, "id").rdd.getNumPartitions() == 3
+
+
+def test_distances_send_nothing_through_the_driver(spark, monkeypatch):
+    plans, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    e = spark.createDataFrame([(g, i, i + 1) for g in range(4) for i in range(4)], "graph_id long, src long, dst long")
+    g = Graph.of(spark.createDataFrame([(g, i) for g in range(4) for i in range(5)], "graph_id long, v long"), e)
+    got = {(r.graph_id, r.i, r.j): r.d for r in G.distances(g).collect()}
+    assert got == {(g, i, j): abs(i - j) for g in range(4) for i in range(5) for j in range(5)}
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans[2:])
