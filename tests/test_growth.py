@@ -191,3 +191,23 @@ def test_embedding_moves_as_it_did_in_a_tenth_of_the_time():
         times += [f(), time.perf_counter()]
     np.testing.assert_allclose(times[3], times[1], atol=1e-6)
     assert times[4] - times[2] < (times[2] - times[0]) / 4
+
+
+def test_pushes_in_cells_are_those_of_all_pairs(monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(K, "AT_ONCE", 30)
+    for wide in (3.0, 40.0, 1e-5):  # the last in cells whose numbers don't fit a sorting key
+        p, all_ = rng.uniform(-90, 90, (150, 2)), rng.permutation(150)[:120]
+        cell = np.floor((p[all_] + 150) / wide)
+        force = rng.uniform(-1, 1, p.shape)
+        want = force.copy()
+        i, j = (all_[x] for x in K._in_cells(cell))
+        delta = p[i] - p[j]
+        d = np.hypot(*delta.T)
+        push = delta * (9.0**2 * (1 / d - d**2 / (np.pi * 150**3)) / d)[:, None]
+        np.add.at(want, i, push)
+        np.add.at(want, j, -push)
+        order, begins = K._by_cells(cell)
+        assert (order == np.lexsort(cell.T)).all() and begins.sum() == len(np.unique(cell, axis=0))
+        K._push_in_cells(force, p, all_[order], begins, 9.0, 1e-6)
+        assert (force == want).all()
